@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataflow.llm.bpe import op10_bpe
 from strataflow.llm.importance import op6_importance_resampling
 from strataflow.llm.simhash import op7_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_importance_resampling": op6_importance_resampling,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
