@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 
@@ -53,8 +54,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, kind, mult
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of word bytes and runs of punctuation, A-Z lower-cased in the hash.
+def lowered(column: pa.Array, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The bytes in lower case, where that keeps every document's length; else the same bytes."""
+    low, at = utf8(pc.utf8_lower(pa.array(column.fill_null("")).cast(pa.large_string())))
+    return low if np.array_equal(at, offs) else data
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, hashed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of word bytes and runs of punctuation, A-Z lower-cased in the hash (of other bytes, if given).
 
     Returns for each token its start, length, 64-bit hash, kind (1 word, 2 punctuation), and n + 1 offsets of
     the documents' tokens. Bytes of non-ASCII characters count as word bytes.
@@ -72,7 +79,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     bounds = np.flatnonzero(first)
     ends = np.append(bounds[1:], n)
     at = np.arange(n, dtype=np.int64) - np.repeat(bounds, ends - bounds)
-    v = (low[data].astype(U64) + U64(1)) * mult[at & 1023]
+    v = (low[data if hashed is None else hashed].astype(U64) + U64(1)) * mult[at & 1023]
     v ^= (at >> 10).astype(U64)
     h = mix(np.add.reduceat(v, bounds))
     keep = k[bounds] > 0

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataflow.llm.bpe import op10_bpe
+from strataflow.llm.decontaminate import op5_template_decontamination
 from strataflow.llm.importance import op6_importance_resampling
 from strataflow.llm.langid import op2_language_id
 from strataflow.llm.pii import op4_pii
@@ -15,6 +16,7 @@ from strataflow.llm.simhash import op7_simhash_near_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_pii": op4_pii,
+    "op5_template_decontamination": op5_template_decontamination,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_bpe": op10_bpe,
