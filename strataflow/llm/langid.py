@@ -174,8 +174,11 @@ def is_held_out() -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learns from text and lang of rows that aren't held out, at most per_lang for each language."""
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    # a threshold on the hash leaves about twice the bound, so no task meets more of a frequent language
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), 2 * per_lang / F.count("*")).alias("_share"))
+    near = rows.join(F.broadcast(sizes), "lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    sample = rows.withColumn("_n", nth).where(F.col("_n") <= per_lang).select("lang", "text")
+    sample = near.withColumn("_n", nth).where(F.col("_n") <= per_lang).select("lang", "text")
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams, scripts = np.zeros((KINDS, BUCKETS)), np.zeros(len(SCRIPTS) + 2)
