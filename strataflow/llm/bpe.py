@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,15 @@ from pyspark.sql import types as T
 from strataflow.llm.arrowtext import slices
 from strataflow.session import read_table, ship_package
 
-#: The splitter's white space (Unicode White_Space) and its pattern.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Characters whose class is the same in all Unicode versions of the last decade; other texts take the library's splitter.
-SETTLED = r"[^\x00-ԯ‐-‧€　-〿ぁ-ゖァ-ヺ一-龥가-힣]"
+#: The splitter's white space (Unicode White_Space), its pattern, and the same in `re` for settled
+#: characters, those whose class has been the same in all Unicode versions of the last decade. Other texts take the
+#: library's splitter.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+COUNTERS = "²³¹¼½¾〇〡-〩〸-〺"
+PATTERN = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_{COUNTERS}]+| ?[\d{COUNTERS}]+| ?(?:(?![{COUNTERS}])[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
+UNSETTLED = r"[^\x00-\u052f\u2010-\u2027\u20ac\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 BLOCK_BYTES = 16_000_000
 
 
@@ -53,7 +58,7 @@ class _Bpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.find, self.unsettled = regex.compile(PATTERN).findall, re.compile(SETTLED).search
+        self.find, self.unsettled = re.compile(PATTERN).findall, re.compile(UNSETTLED).search
         with open(path, encoding="utf-8") as f:
             added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = frozenset(added)
@@ -73,6 +78,7 @@ class _Bpe:
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    @cached_property
     def pieces(self) -> list[bytes]:
         """The bytes of each id."""
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -112,41 +118,83 @@ def _number(ids: pa.Array, texts: list[str]) -> int:
 
 
 def block_words(path: str) -> Callable:
+    """The distinct words of each block, numbered in the order of their first places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = bpe(path).split
         for ids, texts in _blocks(batches):
-            words: set[str] = set()
+            words: dict[str, None] = {}
             for t in texts:
-                words.update(split(t))
-            block, found = _number(ids, texts), sorted(words)
+                words.update(dict.fromkeys(split(t)))
+            block, found = _number(ids, texts), list(words)
             for a in range(0, len(found), 50_000):
                 part = found[a : a + 50_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "word": pa.array(part, pa.string())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "nth": pa.array(range(a, a + len(part)), pa.int32()), "word": pa.array(part, pa.string())})
 
     return run
 
 
-def encode_words(path: str) -> Callable:
-    """Adds each word's ids to rows sorted by word."""
+def encode_words(path: str, gather: int = 400_000) -> Callable:
+    """Encodes each distinct word of rows sorted by word, and sends its ids to the blocks, many in a row."""
+
+    def flush(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        block, nth, lens = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        flat = np.concatenate([r[3] for r in rows])
+        starts = np.cumsum(lens) - lens
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        bodies = [_put(nth[at], lens[at], _gather(flat, starts, lens, at)) for at in np.split(order, cuts)]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[order][np.concatenate(([0], cuts))]), "body": pa.array(bodies, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        last, last_ids, rows, held = None, [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             coded = batch.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
             new = [w for w in words if w != last]
-            ids = dict(zip(new, (np.array(x, "<u4").tobytes() for x in bpe(path).encode(new)), strict=True))
+            ids = dict(zip(new, bpe(path).encode(new), strict=True))
             if last is not None:
                 ids[last] = last_ids
-            column = pa.array([ids[w] for w in words], pa.binary()).take(coded.indices)
-            if words:
-                last = batch.column("word")[-1].as_py()
-                last_ids = ids[last]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), column], names=["block", "word", "ids"])
+            each = [ids[w] for w in words]
+            last, last_ids = words[-1], each[-1]  # sorted, so the last row has the last word
+            lens = np.array([len(x) for x in each], np.int64)
+            flat = np.array([i for x in each for i in x], np.uint32)
+            at = np.array(coded.indices, np.int64)
+            rows.append((np.array(batch.column("block")), np.array(batch.column("nth"), np.int64), lens[at], _gather(flat, np.cumsum(lens) - lens, lens, at)))
+            held += len(at)
+            if held >= gather:
+                yield from flush(rows)
+                rows, held = [], 0
+        if rows:
+            yield from flush(rows)
 
     return run
 
 
+def _put(nth: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> bytes:
+    """Words' numbers, counts of ids, and ids, as compressed bytes."""
+    wide = int(flat.max(initial=0) >= 1 << 16)
+    head = np.array([len(nth), wide], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + nth.astype("<i4").tobytes() + lens.astype("<i4").tobytes() + flat.astype("<u4" if wide else "<u2").tobytes())
+
+
+def _got(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n, wide = np.frombuffer(raw, "<i8", 2).tolist()
+    return np.frombuffer(raw, "<i4", n, 16), np.frombuffer(raw, "<i4", n, 16 + 4 * n), np.frombuffer(raw, "<u4" if wide else "<u2", -1, 16 + 8 * n).astype("<u4")
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat[starts[i] : starts[i] + lens[i]] for each i of at, one after another."""
+    n = lens[at]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n), n)]
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block: the documents as one compressed Arrow stream."""
     for ids, texts in _blocks(batches):
@@ -158,32 +206,28 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([_number(ids, texts)], pa.int64()), "body": pa.array([body], pa.binary())})
 
 
-def _gather(flat: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    lens = offs[at + 1] - offs[at]
-    ends = np.cumsum(lens)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.arange(ends[-1]) + np.repeat(offs[at] - (ends - lens), lens)]
-
-
 def code_blocks(path: str, decode: bool) -> Callable:
+    """Puts ids at the words' places; decodes them by their pieces."""
+
     def run(packed: pa.Table, words: pa.Table) -> pa.Table:
         coder = bpe(path)
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        raw = words.column("ids").combine_chunks().cast(pa.large_binary())
-        raw = raw if isinstance(raw, pa.Array) else pa.concat_arrays(raw.chunks)
-        body = b"".join(raw.to_pylist())
-        flat = np.frombuffer(body, "<u4")
-        offs = np.concatenate(([0], np.cumsum([len(x.as_py()) // 4 for x in raw]))).astype(np.int64)
-        pieces = coder.pieces() if decode else []
+        got = [_got(x.as_py()) for x in words.column("body")]
+        total = sum(len(g[0]) for g in got)
+        starts, lens = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        flat, base = np.concatenate([np.zeros(0, "<u4"), *(g[2] for g in got)]), 0
+        for nth, n, ids in got:
+            lens[nth], starts[nth] = n, base + np.cumsum(n) - n
+            base += len(ids)
+        pieces = coder.pieces if decode else []
         doc_ids, out, texts = [], [], []
         for blob in packed.column("body"):
+            place: defaultdict[str, int] = defaultdict(count().__next__)  # numbers new words as block_words does
             with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_py())) as r:
                 table = r.read_all()
             doc_ids.append(table.column("doc_id").combine_chunks())
             for text in table.column("text"):
                 at = np.fromiter(map(place.__getitem__, coder.split(text.as_py())), np.int64)
-                ids = _gather(flat, offs, at)
+                ids = _gather(flat, starts, lens, at)
                 out.append(ids.tobytes())
                 if decode:
                     texts.append(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace"))
@@ -198,8 +242,8 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
     ship_package(docs.sparkSession)
     path = path or default_path()
     docs = docs.select("doc_id", "text")
-    words = docs.mapInArrow(block_words(path), "block long, word string").repartition("word").sortWithinPartitions("word")
-    coded = words.mapInArrow(encode_words(path), "block long, word string, ids binary")
+    words = docs.mapInArrow(block_words(path), "block long, nth int, word string").repartition("word").sortWithinPartitions("word")
+    coded = words.mapInArrow(encode_words(path), "block long, body binary")
     packed = docs.mapInArrow(_packed, "block long, body binary")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(code_blocks(path, decode), schema)
