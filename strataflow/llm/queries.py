@@ -11,10 +11,12 @@ from strataflow.llm.decontaminate import op5_template_decontamination
 from strataflow.llm.importance import op6_importance_resampling
 from strataflow.llm.langid import op2_language_id
 from strataflow.llm.pii import op4_pii
+from strataflow.llm.secrets import op3_secret_ledger
 from strataflow.llm.simhash import op7_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_secret_ledger": op3_secret_ledger,
     "op4_pii": op4_pii,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_importance_resampling": op6_importance_resampling,
