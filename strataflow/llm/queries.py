@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataflow.llm.ann import op8_one_bit_codes
 from strataflow.llm.bpe import op10_bpe
 from strataflow.llm.decontaminate import op5_template_decontamination
 from strataflow.llm.importance import op6_importance_resampling
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_template_decontamination": op5_template_decontamination,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_one_bit_codes": op8_one_bit_codes,
     "op10_bpe": op10_bpe,
 }
 
