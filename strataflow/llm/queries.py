@@ -14,6 +14,7 @@ from strataflow.llm.langid import op2_language_id
 from strataflow.llm.pii import op4_pii
 from strataflow.llm.secrets import op3_secret_ledger
 from strataflow.llm.simhash import op7_simhash_near_dedup
+from strataflow.llm.suffixes import op9_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_importance_resampling": op6_importance_resampling,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_one_bit_codes": op8_one_bit_codes,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
