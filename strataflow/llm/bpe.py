@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
 Texts are split into words as the tokenizer's own splitter does. Blocks of documents list their distinct words; that
-table, dealt out and sorted by word, lets the tokenizer see each distinct word once, however often it occurs. The ids
-go back to the blocks, where they replace the words at their positions. Decoding looks up each id's piece.
+table, dealt out by word, lets the tokenizer see each distinct word once, however often it occurs. The ids go back to
+the blocks, where they replace the words at their positions. Decoding looks up each id's piece.
 
 Only compressed texts and distinct words are shuffled, never occurrences, so a word that fills a third of the corpus
 weighs one row for each block.
@@ -23,6 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +109,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
 
 
 def _number(ids: pa.Array, texts: list[str]) -> int:
-    import xxhash
-
     h = xxhash.xxh64(repr(ids.to_pylist()).encode(), 7)
     for t in texts:
         h.update(t.encode())
@@ -117,8 +116,8 @@ def _number(ids: pa.Array, texts: list[str]) -> int:
     return h.intdigest() - 2**63
 
 
-def block_words(path: str) -> Callable:
-    """The distinct words of each block, numbered in the order of their first places."""
+def block_words(path: str, parts: int) -> Callable:
+    """The distinct words of each block, numbered in the order of their first places, packed by the part they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = bpe(path).split
@@ -126,49 +125,40 @@ def block_words(path: str) -> Callable:
             words: dict[str, None] = {}
             for t in texts:
                 words.update(dict.fromkeys(split(t)))
-            block, found = _number(ids, texts), list(words)
-            for a in range(0, len(found), 50_000):
-                part = found[a : a + 50_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "nth": pa.array(range(a, a + len(part)), pa.int32()), "word": pa.array(part, pa.string())})
+            raw = [w.encode() for w in words]
+            sizes = np.array([len(w) for w in raw], "<i4")
+            part = np.array([xxhash.xxh64_intdigest(w) for w in raw], np.uint64) % np.uint64(parts)
+            order = np.argsort(part, kind="stable").astype("<i4")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            press, parcels, to = zstandard.ZstdCompressor(level=3), [], []
+            for at in np.split(order, cuts) if len(order) else []:
+                head = np.array([len(at)], "<i8").tobytes() + at.tobytes() + sizes[at].tobytes()
+                parcels.append(press.compress(head + b"".join([raw[i] for i in at.tolist()])))
+                to.append(int(part[at[0]]))
+            block = pa.array([_number(ids, texts)] * len(parcels), pa.int64())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(to, pa.int32()), "block": block, "body": pa.array(parcels, pa.binary())})
 
     return run
 
 
-def encode_words(path: str, gather: int = 400_000) -> Callable:
-    """Encodes each distinct word of rows sorted by word, and sends its ids to the blocks, many in a row."""
-
-    def flush(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        block, nth, lens = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        flat = np.concatenate([r[3] for r in rows])
-        starts = np.cumsum(lens) - lens
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        bodies = [_put(nth[at], lens[at], _gather(flat, starts, lens, at)) for at in np.split(order, cuts)]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(block[order][np.concatenate(([0], cuts))]), "body": pa.array(bodies, pa.binary())})
+def encode_words(path: str) -> Callable:
+    """Encodes each distinct word of a part of the words, and sends its ids to the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids, rows, held = None, [], [], 0
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            new = [w for w in words if w != last]
-            ids = dict(zip(new, bpe(path).encode(new), strict=True))
-            if last is not None:
-                ids[last] = last_ids
-            each = [ids[w] for w in words]
-            last, last_ids = words[-1], each[-1]  # sorted, so the last row has the last word
-            lens = np.array([len(x) for x in each], np.int64)
-            flat = np.array([i for x in each for i in x], np.uint32)
-            at = np.array(coded.indices, np.int64)
-            rows.append((np.array(batch.column("block")), np.array(batch.column("nth"), np.int64), lens[at], _gather(flat, np.cumsum(lens) - lens, lens, at)))
-            held += len(at)
-            if held >= gather:
-                yield from flush(rows)
-                rows, held = [], 0
-        if rows:
-            yield from flush(rows)
+            bodies = []
+            for parcel in batch.column("body"):
+                raw = zstandard.ZstdDecompressor().decompress(parcel.as_py())
+                n = int(np.frombuffer(raw, "<i8", 1)[0])
+                nth, sizes = np.frombuffer(raw, "<i4", n, 8), np.frombuffer(raw, "<i4", n, 8 + 4 * n)
+                ends = (np.cumsum(sizes) + 8 + 8 * n).tolist()
+                words = [raw[a:b] for a, b in zip([8 + 8 * n, *ends[:-1]], ends, strict=True)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(x, "<u4") for x in bpe(path).encode([w.decode() for w in new])), strict=True))
+                each = [known[w] for w in words]
+                bodies.append(_put(nth, np.array([len(x) for x in each]), np.concatenate(each)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(bodies, pa.binary())], names=["block", "body"])
 
     return run
 
@@ -242,7 +232,8 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
     ship_package(docs.sparkSession)
     path = path or default_path()
     docs = docs.select("doc_id", "text")
-    words = docs.mapInArrow(block_words(path), "block long, nth int, word string").repartition("word").sortWithinPartitions("word")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.mapInArrow(block_words(path, parts), "part int, block long, body binary").repartitionById(parts, F.col("part"))
     coded = words.mapInArrow(encode_words(path), "block long, body binary")
     packed = docs.mapInArrow(_packed, "block long, body binary")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
