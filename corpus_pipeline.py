@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strataflow.llm import importance, simhash
+from strataflow.llm import bpe, decontaminate, importance, secrets, simhash
 from strataflow.session import materialise, read_table, ship_package
 
 #: The columns that every stage but the last hands on.
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id, and of repeated ids one row.
+    """One document of each group of near copies stays: the one with the least doc_id; of repeated rows one.
 
     Five-word shingles; links are fingerprints of 256 bits that differ in at most 48, which pairs of similarity 0.8
     do in nineteen cases of twenty, and unrelated texts (128 bits on average, deviation 8) never.
@@ -29,13 +29,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs, words=5, lanes=4, radius=48, lead=16)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
     return kept.withColumn("_first", first).where("_first = 1").drop("_first")
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item, re-parameterised or not, go."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; each secret in it gives way to a mark, and n_chars follows."""
+    redacted = secrets.redact(docs.select(*COLUMNS))
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return redacted.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that stays."""
+    return bpe.digests(bpe.encode(docs, decode=True))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
     ("near dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("secret scan", without_secrets),
+    ("bpe", encoded),
 ]
 
 #: SQL can't express the stages (hash models, Gumbel sampling, fingerprints, byte-pair encoding).

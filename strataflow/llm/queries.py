@@ -13,10 +13,12 @@ from strataflow.llm.importance import op6_importance_resampling
 from strataflow.llm.langid import op2_language_id
 from strataflow.llm.pii import op4_pii
 from strataflow.llm.secrets import op3_secret_ledger
+from strataflow.llm.shards import op1_training_shards
 from strataflow.llm.simhash import op7_simhash_near_dedup
 from strataflow.llm.suffixes import op9_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_shards": op1_training_shards,
     "op2_language_id": op2_language_id,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_pii": op4_pii,
