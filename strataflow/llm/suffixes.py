@@ -30,13 +30,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.arrowtext import mix, slices, utf8
+from strataflow.llm.arrowtext import mix, release, slices, utf8
 from strataflow.session import materialise, read_table, ship_package
 
 #: Bytes of a repeat, bytes of an anchor, places from which an anchor's strings are dealt out one by one.
 WIDTH, GRAM, HOT = 100, 24, 2_000
-#: Windows sorted at a time, about; raw bytes of contexts that a task gathers before it sends them.
-CHUNK, GATHER = 150_000, 48_000_000
+#: Bytes sorted at a time, about; raw bytes of contexts that a task gathers before it sends them.
+CHUNK, GATHER = 4_000_000, 12_000_000
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -243,6 +243,7 @@ def _contexts(parts: int) -> Callable:
                 if parcels.size >= GATHER:
                     yield from parcels.send()
         yield from parcels.send()
+        release()
 
     return run
 
@@ -288,6 +289,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             chunk, held = [], 0
     if chunk:
         yield _chunk_verdicts(chunk, bodies, rows)
+    del seen, bodies
+    release()
 
 
 def _chunk_verdicts(chunk: list[int], bodies: list[bytes], rows: np.ndarray) -> pa.RecordBatch:
@@ -327,29 +330,35 @@ def _verdicts(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, kept, n_bytes, n_removed, n_spans of each text; notes: repeats, and -1 in the first of equal texts."""
     for batch in batches:
-        kept, counts = [], []
-        for text, notes in zip(batch.column("text"), batch.column("notes"), strict=True):
-            raw = text.as_buffer()
-            n = len(raw)
-            at = np.array(notes.values) if notes.is_valid else np.zeros(0, np.int64)
-            if not (at < 0).any():  # equal to an earlier text
-                gone = n >= WIDTH
-                kept.append(b"" if gone else raw.to_pybytes())
-                counts.append((n, n if gone else 0, int(gone)))
-                continue
-            at = at[at >= 0]
-            if not len(at):
-                kept.append(raw.to_pybytes())
-                counts.append((n, 0, 0))
-                continue
-            cover = np.zeros(n + 1, np.int32)
-            np.add.at(cover, at >> 7, 1)
-            np.add.at(cover, (at >> 7) + (at & 127) + WIDTH, -1)
-            drop = np.cumsum(cover[:-1]) > 0
-            kept.append(np.frombuffer(raw, np.uint8)[~drop].tobytes())
-            counts.append((n, int(drop.sum()), int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())))
-        columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), *columns], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        for i, j in slices(batch.column("text")):
+            yield _stripped(batch.slice(i, j - i))
+    release()
+
+
+def _stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
+    kept, counts = [], []
+    for text, notes in zip(batch.column("text"), batch.column("notes"), strict=True):
+        raw = text.as_buffer()
+        n = len(raw)
+        at = np.array(notes.values) if notes.is_valid else np.zeros(0, np.int64)
+        if not (at < 0).any():  # equal to an earlier text
+            gone = n >= WIDTH
+            kept.append(b"" if gone else raw.to_pybytes())
+            counts.append((n, n if gone else 0, int(gone)))
+            continue
+        at = at[at >= 0]
+        if not len(at):
+            kept.append(raw.to_pybytes())
+            counts.append((n, 0, 0))
+            continue
+        cover = np.zeros(n + 1, np.int32)
+        np.add.at(cover, at >> 7, 1)
+        np.add.at(cover, (at >> 7) + (at & 127) + WIDTH, -1)
+        drop = np.cumsum(cover[:-1]) > 0
+        kept.append(np.frombuffer(raw, np.uint8)[~drop].tobytes())
+        counts.append((n, int(drop.sum()), int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())))
+    columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), *columns], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
