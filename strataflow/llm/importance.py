@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Documents are bags of hashed one- and two-token grams. Two multinomial models over the hash buckets, one of target
-text and one of all raw text, give each document the log of its likelihood ratio; with a Gumbel variate added, the k
+text and one of all raw text, give each document the log of its likelihood ratio (tempered for long texts); with a Gumbel variate added, the k
 largest keys are a sample without replacement in proportion to the ratios. Taking the top k needs no sort: the sample
 is the set of keys at or above the k-th, and k is set here by a cut between labelled good and bad documents.
 
@@ -28,6 +28,13 @@ BUCKETS = 16_384
 #: Labelled rows that models and cut are fitted on, at most, for each of good and bad.
 LABELLED = 20_000
 SEED = 17
+#: Occurrences of a gram, in target text and as expected there, that count as seen beforehand; draws rare grams to ratio 1.
+PRIOR = 8.0
+#: Grams from which a longer text's ratio counts by its mean: grams of a text aren't independent, and a slight bias
+#: against one language would otherwise sink its long texts.
+EFFECTIVE = 100
+#: A share of good documents lost weighs as much as this many times the share of bad ones kept.
+GOOD = 4.0
 
 
 def _grams(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +85,12 @@ def fit(docs: DataFrame, good: list[int], buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.ones(buckets), np.ones(buckets)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counted.collect():  # one row for each bucket at most
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    expected = raw * (target.sum() / max(raw.sum(), 1.0))
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def gumbel(ids: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
@@ -102,7 +110,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 grams, offs = _grams(part.column("text"), len(model.value))
-                weight = per_document(model.value[grams], offs)
+                weight = per_document(model.value[grams], offs) * np.minimum(1.0, EFFECTIVE / np.maximum(1, np.diff(offs)))
                 ids = np.array(part.column("doc_id").cast(pa.int64()).fill_null(-1))
                 key = weight + gumbel(ids, np.diff(offs), seed)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], names=[*part.schema.names, "log_weight", "gumbel_key"])
@@ -116,7 +124,7 @@ def cut_between(good: np.ndarray, bad: np.ndarray) -> float:
         return -np.inf
     keys = np.concatenate((good, bad))
     order = np.argsort(keys, kind="stable")
-    sign = np.concatenate((np.full(len(good), -1 / len(good)), np.full(len(bad), 1 / len(bad))))[order]
+    sign = np.concatenate((np.full(len(good), -GOOD / len(good)), np.full(len(bad), 1 / len(bad))))[order]
     keys = keys[order]
     gain = np.concatenate(([0], np.cumsum(sign)))  # with a cut before each key
     gain[1:-1][keys[1:] == keys[:-1]] = -np.inf
@@ -133,8 +141,9 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, limit:
     good, bad = labelled_ids(labels, limit, seed)
     if not good or not bad:
         return docs.drop("log_weight", "gumbel_key").withColumns({"log_weight": F.lit(0.0), "gumbel_key": F.lit(0.0)})
-    ratio = fit(docs, good, buckets)
-    known = spark.createDataFrame([(i, True) for i in good] + [(i, False) for i in bad], "doc_id long, is_good boolean")
+    ratio = fit(docs, good[::2], buckets)
+    # the cut is set on good documents that the target model hasn't seen
+    known = spark.createDataFrame([(i, True) for i in good[1::2] or good] + [(i, False) for i in bad], "doc_id long, is_good boolean")
     # at most 2 * limit rows
     fitted = score(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ratio, seed).select("is_good", "gumbel_key").toPandas()
     cut = cut_between(fitted.gumbel_key[fitted.is_good].to_numpy(), fitted.gumbel_key[~fitted.is_good].to_numpy())
