@@ -36,7 +36,7 @@ from strataflow.session import materialise, read_table, ship_package
 #: Bytes of a repeat, bytes of an anchor, places from which an anchor's strings are dealt out one by one.
 WIDTH, GRAM, HOT = 100, 24, 2_000
 #: Bytes sorted at a time, about; raw bytes of contexts that a task gathers before it sends them.
-CHUNK, GATHER = 4_000_000, 12_000_000
+CHUNK, GATHER = 1_000_000, 12_000_000
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
