@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,8 +68,18 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_bytes(text: str | None, layout: Layout) -> bytes:
+    """The text's ids and the end id, little-endian in layout.width bytes each."""
+    ids = _encoding(layout.vocabulary).encode_ordinary(text or "")
+    ids.append(layout.end)
+    out = array({2: "H", 4: "I"}[layout.width], ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def token_ids(text: str | None, layout: Layout) -> np.ndarray:
-    return np.append(np.array(_encoding(layout.vocabulary).encode_ordinary(text or ""), np.uint32), np.uint32(layout.end))
+    return np.frombuffer(token_bytes(text, layout), f"<u{layout.width}")
 
 
 def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -127,15 +139,15 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = bases.value.get(TaskContext.get().partitionId(), 0)
+        at, step = bases.value.get(TaskContext.get().partitionId(), 0), layout.length * layout.width
         for batch in batches:
             row, seq, ids = [], [], []
             for i, text in enumerate(batch.column("text")):
-                all_ids = token_ids(text.as_py(), layout).astype(f"<u{layout.width}")
-                for k in range(0, len(all_ids), layout.length):
+                all_ids = token_bytes(text.as_py(), layout)
+                for k, at_byte in enumerate(range(0, len(all_ids), step)):
                     row.append(i)
-                    seq.append(k // layout.length)
-                    ids.append(all_ids[k : k + layout.length].tobytes())
+                    seq.append(k)
+                    ids.append(all_ids[at_byte : at_byte + step])
             slot = feistel(np.arange(at, at + len(row)), total, layout.key)
             at += len(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(seq, pa.int32()), pa.array(slot), pa.array(ids, pa.binary())], names=["doc_id", "seq", "slot", "ids"])
@@ -167,13 +179,16 @@ def write_shards(placed: DataFrame, folder: str, layout: Layout) -> DataFrame:
 
         for batch in batches:
             slots, ids = batch.column("slot").to_numpy(), batch.column("ids").to_pylist()
-            for slot, body in zip(slots.tolist(), ids, strict=True):
-                if slot // layout.shard != shard:
+            of = slots // layout.shard
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b and of[a] != shard:
                     close()
-                    shard = slot // layout.shard
+                    shard = int(of[a])
                     name = f"{root}/shard-{shard:09d}.bin"
                     out = store.open_output_stream(f"{name}.{attempt}")
-                out.write((len(body) // layout.width).to_bytes(4, "little") + body + bytes(layout.stride - 4 - len(body)))
+                if a < b:
+                    out.write(b"".join([(len(x) // layout.width).to_bytes(4, "little") + x + bytes(layout.stride - 4 - len(x)) for x in ids[a:b]]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
