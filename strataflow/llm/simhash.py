@@ -1,10 +1,11 @@
 """SimHash near-duplicate groups by tiled exact comparison.
 
 Every whole text becomes a fingerprint over its word shingles. The distinct fingerprints are sorted by population
-count (in all and by quarter) and cut into tiles; each pair of tiles is one task row, in which numpy xors and counts
+count (in all and by quarter) and cut into tiles; each tile, and each pair of tiles, is one task row, in which numpy xors and counts
 bits of all pairs of fingerprints, but for those blocks whose population counts differ by more than the radius, as
 no fingerprints of theirs can be within it. A task keeps a spanning forest of the links it finds, never all pairs of
-a group; components of these forests are the components of all links.
+a group, and for a pair of tiles only what joins components that the tiles had; components of these forests are the
+components of all links.
 
 With several lanes a fingerprint is longer: the first 64 bits within `lead` differing bits select pairs, and the
 whole of it decides.
@@ -124,12 +125,15 @@ def _blocks(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Forest:
-    """Components of n nodes, with an edge kept for each union."""
+    """Components of nodes, with an edge kept for each union. label: of components known already, by a node in each."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
         self.edges: list[np.ndarray] = []
 
+    def kept(self) -> np.ndarray:
+        return np.concatenate(self.edges, axis=1) if self.edges else np.zeros((2, 0), np.int64)
+
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
             a, b = self.label[i], self.label[j]
@@ -147,13 +151,13 @@ class _Forest:
             self.label = to[self.label]
 
 
-def _compare(a: np.ndarray, b: np.ndarray | None, lead: int, radius: int) -> np.ndarray:
-    """Spanning forest, as a 2 x n array of row numbers, of the links among a's rows, or between a's and b's (counted after a's)."""
+def _compare(a: np.ndarray, b: np.ndarray | None, lead: int, radius: int, label: np.ndarray | None = None) -> _Forest:
+    """Forest of the links among a's rows, or between a's and b's (counted after a's). label: components known before."""
     both = a if b is None else np.concatenate((a, b))
-    forest, shift = _Forest(len(both)), 0 if b is None else len(a)
+    forest, shift = _Forest(np.arange(len(both)) if label is None else label), 0 if b is None else len(a)
     x, y = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray((a if b is None else b)[:, 0])
     if not len(x) or not len(y):
-        return np.zeros((2, 0), np.int64)
+        return forest
     xs, xlow, xhigh = _blocks(x)
     ys, ylow, yhigh = _blocks(y)
     for i, at in enumerate(xs):
@@ -171,7 +175,7 @@ def _compare(a: np.ndarray, b: np.ndarray | None, lead: int, radius: int) -> np.
                     ok = np.bitwise_count(both[p] ^ both[q]).sum(axis=1, dtype=np.int64) <= radius
                     p, q = p[ok], q[ok]
                 forest.add(p, q)
-    return np.concatenate(forest.edges, axis=1) if forest.edges else np.zeros((2, 0), np.int64)
+    return forest
 
 
 def links(nodes: DataFrame, lanes: int = 1, radius: int = 4, lead: int | None = None) -> DataFrame:
@@ -195,23 +199,32 @@ def links(nodes: DataFrame, lanes: int = 1, radius: int = 4, lead: int | None =
         node = t.column("node").to_numpy()
         f = np.stack([t.column(c).to_numpy() for c in names], axis=1)
         pops = np.bitwise_count(f[:, 0].view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"nodes": pa.array([node.tobytes()]), "prints": pa.array([f.tobytes()]), "low": pa.array([int(pops.min())], pa.int32()), "high": pa.array([int(pops.max())], pa.int32())})
+        forest = _compare(f.view(np.uint64), None, lead, radius)
+        yield pa.RecordBatch.from_pydict({"nodes": pa.array([node.tobytes()]), "prints": pa.array([f.tobytes()]), "labels": pa.array([forest.label.astype("<i8").tobytes()]), "inner": pa.array([node[forest.kept()].tobytes()]), "low": pa.array([int(pops.min())], pa.int32()), "high": pa.array([int(pops.max())], pa.int32())})
 
-    packed = nodes.repartitionByRange(tiles_n, *order).sortWithinPartitions(*order).mapInArrow(pack, "nodes binary, prints binary, low int, high int")
+    packed = nodes.repartitionByRange(tiles_n, *order).sortWithinPartitions(*order).mapInArrow(pack, "nodes binary, prints binary, labels binary, inner binary, low int, high int")
     tiles = materialise(packed.withColumn("tile", F.spark_partition_id()), "simhash-tiles")
     bounds = {r["tile"]: (r["low"], r["high"]) for r in tiles.select("tile", "low", "high").collect()}  # a row for each tile
     at = sorted(bounds)
-    pairs = [(a, b) for i, a in enumerate(at) for b in at[i:] if max(bounds[b][0] - bounds[a][1], bounds[a][0] - bounds[b][1]) <= lead]
-    todo = spark.createDataFrame([(t, a, b) for a, b in pairs for t in {a, b}], "tile int, a int, b int")
+    pairs = [(a, b) for i, a in enumerate(at) for b in at[i + 1 :] if max(bounds[b][0] - bounds[a][1], bounds[a][0] - bounds[b][1]) <= lead]
+    todo = spark.createDataFrame([(t, a, b) for a, b in pairs for t in (a, b)], "tile int, a int, b int")  # by tiles, not rows
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("tile").to_pylist(), table.column("nodes").to_pylist(), table.column("prints").to_pylist(), strict=True))
-        f = [np.frombuffer(p, np.uint64).reshape(-1, lanes) for _, _, p in rows]
-        node = np.concatenate([np.frombuffer(x, np.int64) for _, x, _ in rows])
-        edges = node[_compare(f[0], f[1] if len(f) > 1 else None, lead, radius)]
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("tile", "nodes", "prints", "labels")), strict=True))
+        a, b = (np.frombuffer(p, np.uint64).reshape(-1, lanes) for _, _, p, _ in rows)
+        node = np.concatenate([np.frombuffer(x, np.int64) for _, x, _, _ in rows])
+        first, second = (np.frombuffer(x, "<i8") for *_, x in rows)
+        edges = node[_compare(a, b, lead, radius, np.concatenate((first, second + len(a)))).kept()]
         return pa.table({"src": edges[0], "dst": edges[1]})
 
-    return tiles.select("tile", "nodes", "prints").join(F.broadcast(todo), "tile").groupBy("a", "b").applyInArrow(compare, "src long, dst long")
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("inner"):
+                edges = np.frombuffer(body.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"src": edges[0], "dst": edges[1]})
+
+    across = tiles.select("tile", "nodes", "prints", "labels").join(F.broadcast(todo), "tile").groupBy("a", "b").applyInArrow(compare, "src long, dst long")
+    return across.unionByName(tiles.select("inner").mapInArrow(inner, "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, lead: int | None = None) -> DataFrame:
