@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.grid import level_dims, level_of, places
+from strataflow.session import cut
 
 KEYS = ["block", "idx"]
 
@@ -61,12 +62,14 @@ def recompose(coefficients: DataFrame, levels: int, upto: int | None = None) ->
 
     Elements of finer levels are not made up; `upsample` does that.
     """
+    coefficients = cut(coefficients)
     done = coefficients.where("level = 0").select(*KEYS, "n", "level", "value")
     for level in range(1, (levels if upto is None else upto) + 1):
         new = coefficients.where(F.col("level") == level).select(*KEYS, "n", "level", "value", F.lit(None).cast("double").alias("beside"))
         sent = done.select("block", F.explode(_sends(levels, level)).alias("idx"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"), F.col("value").alias("beside"))
         both = new.unionByName(sent).groupBy(*KEYS).agg(F.max("n").alias("n"), F.max("level").alias("level"), F.max("value").alias("_c"), F.sum("beside").alias("_b"))
         done = done.unionByName(both.where("level is not null").select(*KEYS, "n", "level", (F.col("_c") + F.col("_b") / 2).alias("value")))
+        done = cut(done)  # each level is read twice by the next; tables halve with the level
     return done
 
 
@@ -126,17 +129,39 @@ def _correction(coef: np.ndarray, coarse: int) -> np.ndarray:
     return _mass_solve(load)
 
 
+def _between(low: np.ndarray, dims: tuple[int, ...]) -> np.ndarray:
+    """A coarse box's values on the finer grid: means of neighbours, axis after axis."""
+    for axis, n in enumerate(dims):
+        v = np.moveaxis(low, axis, 0)
+        fine = np.empty((n, *v.shape[1:]))
+        fine[_coarse(n)] = v
+        odd = np.arange(1, n - 1, 2)
+        fine[odd] = (fine[odd - 1] + fine[odd + 1]) / 2
+        low = np.moveaxis(fine, 0, axis)
+    return low
+
+
 def block_decompose(v: np.ndarray, levels: int, basis: str = "hierarchical") -> np.ndarray:
-    """Coefficients in the places of the values, axis by axis on each level."""
+    """Coefficients in the places of the values.
+
+    Hierarchical: a new element's difference from what the coarser box gives there, so errors of levels just add up.
+    Orthogonal: axis by axis, with the projection of what is new added to what is coarse.
+    """
     out = np.array(v, float)
     at = [np.arange(n) for n in v.shape]
     for _ in range(levels):
         box = out[np.ix_(*at)]
+        if basis == "hierarchical":
+            coarse = np.ix_(*(_coarse(n) for n in box.shape))
+            new = box - _between(box[coarse], box.shape)
+            new[coarse] = box[coarse]
+            out[np.ix_(*at)] = new
+            at = [a[_coarse(len(a))] for a in at]
+            continue
         for axis in range(v.ndim):
             n = box.shape[axis]
             low, new = _line_split(box, axis)
-            if basis == "orthogonal":
-                low = low + _correction(new, low.shape[0])
+            low = low + _correction(new, low.shape[0])
             joined = np.empty((n, *low.shape[1:]))
             joined[_coarse(n)], joined[np.arange(1, n - 1, 2)] = low, new
             box = np.moveaxis(joined, 0, axis)
@@ -152,12 +177,18 @@ def block_recompose(c: np.ndarray, levels: int, basis: str = "hierarchical") ->
         grids.append([a[_coarse(len(a))] for a in grids[-1]])
     for at in grids[-2::-1] if levels else ():
         box = out[np.ix_(*at)]
+        if basis == "hierarchical":
+            coarse = np.ix_(*(_coarse(n) for n in box.shape))
+            low = box[coarse]
+            new = box + _between(low, box.shape)
+            new[coarse] = low
+            out[np.ix_(*at)] = new
+            continue
         for axis in reversed(range(c.ndim)):
             v = np.array(np.moveaxis(box, axis, 0))
             n = v.shape[0]
             odd = np.arange(1, n - 1, 2)
-            if basis == "orthogonal":
-                v[_coarse(n)] -= _correction(v[odd], len(_coarse(n)))
+            v[_coarse(n)] -= _correction(v[odd], len(_coarse(n)))
             v[odd] += (v[odd - 1] + v[odd + 1]) / 2
             box = np.moveaxis(v, 0, axis)
         out[np.ix_(*at)] = box
