@@ -14,6 +14,9 @@ _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they run and whatever their path is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "2000")  # rows hold whole texts or blocks; the default of 10000 makes batches of tens of MB
     sc = spark.sparkContext
     if getattr(sc, "_strataflow_shipped", False):
         return
