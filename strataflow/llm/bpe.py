@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.arrowtext import slices
+from strataflow.llm.arrowtext import release, slices
 from strataflow.session import read_table, ship_package
 
 #: The splitter's white space (Unicode White_Space), its pattern, and the same in `re` for settled
@@ -43,6 +43,8 @@ PATTERN = (
 UNSETTLED = r"[^\x00-\u052f\u2010-\u2027\u20ac\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 BLOCK_BYTES = 16_000_000
 
+split_settled, unsettled = re.compile(PATTERN).findall, re.compile(UNSETTLED).search
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -59,7 +61,6 @@ class _Bpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.find, self.unsettled = re.compile(PATTERN).findall, re.compile(UNSETTLED).search
         with open(path, encoding="utf-8") as f:
             added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = frozenset(added)
@@ -72,9 +73,9 @@ class _Bpe:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if self.unsettled(text):
+        if unsettled(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return self.find(text)
+        return split_settled(text)
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -102,10 +103,21 @@ def bpe(path: str) -> _Bpe:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Runs of documents of about BLOCK_BYTES."""
+    ids: list[pa.Array] = []
+    texts: list[str] = []
+    size = 0
     for batch in batches:
-        for a, b in slices(batch.column("text"), BLOCK_BYTES):
-            ids, texts = batch.column("doc_id").slice(a, b - a), batch.column("text").slice(a, b - a).fill_null("").to_pylist()
-            yield ids, texts
+        for a, b in slices(batch.column("text"), BLOCK_BYTES // 8):
+            part = batch.slice(a, b - a)
+            ids.append(part.column("doc_id"))
+            texts += part.column("text").fill_null("").to_pylist()
+            size += part.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield pa.concat_arrays(ids), texts
+                ids, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_arrays(ids), texts
+    release()
 
 
 def _number(ids: pa.Array, texts: list[str]) -> int:
@@ -222,7 +234,10 @@ def code_blocks(path: str, decode: bool) -> Callable:
                 if decode:
                     texts.append(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace"))
         columns = {"doc_id": pa.chunked_array(doc_ids), "ids": pa.array(out, pa.binary())}
-        return pa.table(columns | ({"decoded": pa.array(texts, pa.string())} if decode else {}))
+        columns |= {"decoded": pa.array(texts, pa.string())} if decode else {}
+        del got, flat, place, out, texts
+        release()
+        return pa.table(columns)
 
     return run
 

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.arrowtext import mix
+from strataflow.llm.arrowtext import mix, release
+from strataflow.llm.bpe import split_settled, unsettled
 from strataflow.session import read_table, shared_path, ship_package
 
 
@@ -68,14 +69,42 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Words(dict):
+    """Ids of words as bytes, each encoded when it is first met; emptied when it holds too many."""
+
+    def __init__(self, layout: Layout, most: int = 400_000):
+        super().__init__()
+        self.encode, self.code, self.most = _encoding(layout.vocabulary).encode_ordinary, {2: "H", 4: "I"}[layout.width], most
+
+    def ids(self, text: str) -> bytes:
+        out = array(self.code, self.encode(text))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.ids(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
+        return out
+
+
+@lru_cache(2)
+def _words(layout: Layout) -> _Words:
+    return _Words(layout)
+
+
+def _body(text: str | None, layout: Layout) -> bytes:
+    words, text = _words(layout), text or ""
+    # a text with characters that splitters may see otherwise is left to the tokenizer as a whole
+    return words.ids(text) if unsettled(text) else b"".join(map(words.__getitem__, split_settled(text)))
+
+
 def token_bytes(text: str | None, layout: Layout) -> bytes:
     """The text's ids and the end id, little-endian in layout.width bytes each."""
-    ids = _encoding(layout.vocabulary).encode_ordinary(text or "")
-    ids.append(layout.end)
-    out = array({2: "H", 4: "I"}[layout.width], ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    return _body(text, layout) + layout.end.to_bytes(layout.width, "little")
 
 
 def token_ids(text: str | None, layout: Layout) -> np.ndarray:
@@ -118,10 +147,11 @@ def count_sequences(docs: DataFrame, layout: Layout) -> dict[int, int]:
     """Number of sequences of each input partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = _encoding(layout.vocabulary).encode_ordinary, 0
+        n, step = 0, layout.length * layout.width
         for batch in batches:
             for text in batch.column("text"):
-                n += len(encode(text.as_py() or "")) // layout.length + 1
+                n += len(_body(text.as_py(), layout)) // step + 1
+        release()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     rows = docs.select("text").mapInArrow(run, "n long").select(F.spark_partition_id().alias("part"), "n").where("n > 0")
@@ -151,6 +181,7 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
             slot = feistel(np.arange(at, at + len(row)), total, layout.key)
             at += len(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(seq, pa.int32()), pa.array(slot), pa.array(ids, pa.binary())], names=["doc_id", "seq", "slot", "ids"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, seq int, slot long, ids binary")
 
