@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.arrowtext import lowered, mix, slices, tokens, utf8, windows
+from strataflow.llm.arrowtext import lowered, mix, release, slices, tokens, utf8, windows
 from strataflow.session import cut, read_table, ship_package
 
 WORDS, LEAST, COVERAGE = 8, 5, 0.3
@@ -117,6 +117,7 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
                 w = _window_rows(part.column("text"), lengths, bits, whole)
                 rows = pa.array(w["row"], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string()))], names=[key, "key", "pos", "n", "hash", "slots"])
+        release()
 
     kind = table.schema[key].dataType.simpleString()
     return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>")

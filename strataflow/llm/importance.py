@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.arrowtext import mix, per_document, slices, tokens, utf8, windows
+from strataflow.llm.arrowtext import mix, per_document, release, slices, tokens, utf8, windows
 from strataflow.session import read_table, ship_package
 
 BUCKETS = 16_384
@@ -81,6 +81,7 @@ def fit(docs: DataFrame, good: list[int], buckets: int = BUCKETS) -> np.ndarray:
                 raw += np.bincount(grams, minlength=buckets)
                 flag = np.repeat(is_good[a:b], np.diff(offs))
                 target += np.bincount(grams[flag], minlength=buckets)
+        release()
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "raw": pa.array(raw[used]), "target": pa.array(target[used])})
 
@@ -114,6 +115,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
                 ids = np.array(part.column("doc_id").cast(pa.int64()).fill_null(-1))
                 key = weight + gumbel(ids, np.diff(offs), seed)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], names=[*part.schema.names, "log_weight", "gumbel_key"])
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.arrowtext import mix, slices
+from strataflow.llm.arrowtext import mix, release, slices
 from strataflow.session import read_table, ship_package
 
 PER_LANG = 2_000
@@ -230,6 +230,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
                 part = batch.slice(a, b - a)
                 lang, score, spans = label(part.column("text").to_pylist(), own, penalty)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.arrowtext import mix
+from strataflow.llm.arrowtext import mix, release
 from strataflow.llm.components import connected_components
 from strataflow.session import cut, materialise, read_table, ship_package
 
@@ -106,6 +106,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
                 signer.add(text.as_py())
             f = signer.take().view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(lanes))], names=["doc_id", *names])
+        release()
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in names)])
