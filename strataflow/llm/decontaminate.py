@@ -4,7 +4,8 @@ A text becomes a template: numbers, names (capitalised words inside a sentence)
 typed slots, other words into hashes of their lower-cased bytes, and punctuation goes. Windows of WORDS template
 words of documents and benchmark items are joined by hash. Windows of a document that lie along one item at one offset
 are a placement; it counts if each value that fills a slot of the item faces one value only in the document, so a
-question with new numbers or names is found, and a chance likeness of slots is not. A document leaks an item if
+question with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
+time with names as plain words, for documents in capitals or without any. A document leaks an item if
 placements that count cover the given share of the item's windows.
 
 A bit for each of 2^24 hash prefixes of the benchmark's windows, a table of fixed size, is what the documents are
@@ -50,7 +51,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     return tokens(*utf8(column))[2]
 
 
-def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths, hashes (slots replaced), slot kinds (0 none, 1 number, 2 name, 3 unit) of all words, and n + 1 offsets of documents' words."""
     starts, lens, h, kind, docs = tokens(data, offs, low)
     word = kind == 1
@@ -69,7 +70,7 @@ def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None)
     inner[docs[:-1][docs[:-1] < len(starts)]] = False
     lines = np.cumsum(data == 10)
     inner[1:] &= lines[starts[1:]] == lines[before_end - 1]
-    slot = np.where(digit, 1, np.where(title & inner, 2, 0))
+    slot = np.where(digit, 1, np.where(title & inner & names, 2, 0))
     numbered = np.zeros(len(starts), bool)
     numbered[1:] = slot[:-1] == 1
     numbered[docs[:-1][docs[:-1] < len(starts)]] = False
@@ -79,10 +80,10 @@ def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None)
     return starts[word], lens[word], h[word], slot[word], place[docs]
 
 
-def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int) -> dict[str, list]:
+def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int, names: bool = True) -> dict[str, list]:
     """Windows of some texts: row, position, hash, slots. wanted: bits of hash prefixes; whole: texts of fewer words are one window."""
     data, offs = utf8(column)
-    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs))
+    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs), names)
     sizes = np.diff(docs)
     row_of = np.repeat(np.arange(len(sizes)), sizes)
     literal = np.concatenate(([0], np.cumsum(slot == 0)))
@@ -115,6 +116,12 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 w = _window_rows(part.column("text"), lengths, bits, whole)
+                if whole:  # an item's names also stand for themselves, as texts in one case have none
+                    held = set(zip(w["row"], w["pos"], w["hash"], strict=True))
+                    plain = _window_rows(part.column("text"), lengths, bits, whole, names=False)
+                    new = [i for i, x in enumerate(zip(plain["row"], plain["pos"], plain["hash"], strict=True)) if x not in held]
+                    for c in w:
+                        w[c] += [plain[c][i] for i in new]
                 rows = pa.array(w["row"], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string()))], names=[key, "key", "pos", "n", "hash", "slots"])
         release()
@@ -138,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
     else:
         lengths = sorted(r["n"] for r in words_of)
     found = _windows(docs, "doc_id", lengths, spark.sparkContext.broadcast(bits.tobytes()))
-    total = items.groupBy("item_id", "key").agg(F.count("*").alias("total"))
+    total = items.groupBy("item_id", "key").agg(F.count_distinct("pos").alias("total"))
     left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"))
     met = found.join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
     met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))

@@ -211,7 +211,7 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tu
     turn = np.ones(len(path), bool)
     turn[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(turn)
-    until = np.append(at[1:], len(path)) - 1
+    until = np.append(at[1:], len(path))[: len(at)] - 1
     spans: list[list[str]] = [[] for _ in texts]
     base = w["places"][doc[at]] if len(at) else at
     for d, a, b, i in zip(doc[at].tolist(), (w["starts"][at] - base).tolist(), (w["ends"][until] - base).tolist(), path[at].tolist(), strict=True):
