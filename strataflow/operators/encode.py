@@ -129,17 +129,17 @@ def pack_planes(code: np.ndarray, sign: np.ndarray, planes: int, signed: bool) -
     return out
 
 
-def unpack_planes(bodies: list[bytes], n: int, planes: int, signed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and signs from the first planes; bits of the others are 0."""
-    code, sign, seen = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+def unpack_planes(bodies: list[bytes], n: int, planes: int, signed: bool, start: int = 0, code: np.ndarray | None = None, sign: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and signs from planes start, start + 1, ..., on top of those that earlier planes gave."""
+    code = np.zeros(n, np.int64) if code is None else code.astype(np.int64)
+    sign = np.zeros(n, bool) if sign is None else sign.copy()
     size = -(-n // 8)
-    for p, body in enumerate(bodies):
+    for p, body in enumerate(bodies, start):
         bits = np.unpackbits(np.frombuffer(body, np.uint8, size), count=n).astype(np.int64)
-        code |= bits << (planes - 1 - p)
         if signed:
-            new = ~seen & (bits == 1)
+            new = (code == 0) & (bits == 1)
             sign[new] = np.unpackbits(np.frombuffer(body, np.uint8, -1, size), count=int(new.sum())).astype(bool)
-            seen |= new
+        code |= bits << (planes - 1 - p)
     return code, sign
 
 
@@ -165,22 +165,33 @@ def fragments(coded: DataFrame, planes: int, form: str = "perbit", policy: str =
     return coded.select("block", "var", "level", "pos", "code", "sign").groupBy("block", "var", "level").applyInArrow(run, FRAGMENTS)
 
 
-def unpack(frags: DataFrame, planes: int, form: str = "perbit") -> DataFrame:
-    """(block, var, level, pos, code, sign, taken) from the fragments at hand, which are planes 0..taken-1 of their level."""
-    signed = "negabinary" not in form
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("plane")
-        if table.column("plane").to_pylist() != list(range(table.num_rows)):
-            raise ValueError("planes are missing")
-        n = table.column("n")[0].as_py()
-        bodies = [_expand(b) if c else b for b, c in zip(table.column("payload").to_pylist(), table.column("compressed").to_pylist(), strict=True)]
-        code, sign = unpack_planes(bodies, n, planes, signed)
-        fill = lambda v, t: pa.array([v] * n, t)
-        return pa.table({"block": fill(key[0].as_py(), pa.int64()), "var": fill(key[1].as_py(), pa.string()), "level": fill(key[2].as_py(), pa.int32()), "pos": np.arange(n), "code": code, "sign": sign, "taken": fill(len(bodies), pa.int32())})
-
-    kind = "block long, var string, level int, pos long, code long, sign boolean, taken int"
-    return frags.select("block", "var", "level", "plane", "payload", "compressed", "n").groupBy("block", "var", "level").applyInArrow(run, kind)
+CODES = "block long, var string, level int, pos long, code long, sign boolean, taken int"
+
+
+def _unpacked(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table | None, planes: int, signed: bool) -> pa.Table:
+    had = held.num_rows > 0 if held is not None else False
+    if table.num_rows == 0:
+        return held.select(["block", "var", "level", "pos", "code", "sign", "taken"])
+    table = table.sort_by("plane")
+    held = held.sort_by("pos") if had else None
+    start = held.column("taken")[0].as_py() if had else 0
+    if table.column("plane").to_pylist() != list(range(start, start + table.num_rows)):
+        raise ValueError("planes are missing")
+    n = table.column("n")[0].as_py()
+    bodies = [_expand(b) if c else b for b, c in zip(table.column("payload").to_pylist(), table.column("compressed").to_pylist(), strict=True)]
+    before = (held.column("code").to_numpy(), held.column("sign").to_numpy(zero_copy_only=False)) if had else (None, None)
+    code, sign = unpack_planes(bodies, n, planes, signed, start, *before)
+    fill = lambda v, t: pa.array([v] * n, t)
+    return pa.table({"block": fill(key[0].as_py(), pa.int64()), "var": fill(key[1].as_py(), pa.string()), "level": fill(key[2].as_py(), pa.int32()), "pos": np.arange(n), "code": code, "sign": sign, "taken": fill(start + len(bodies), pa.int32())})
+
+
+def unpack(frags: DataFrame, planes: int, form: str = "perbit", held: DataFrame | None = None) -> DataFrame:
+    """(block, var, level, pos, code, sign, taken) from fragments: planes 0, 1, ... of their level, or those after the held ones."""
+    signed, by = "negabinary" not in form, ["block", "var", "level"]
+    new = frags.select(*by, "plane", "payload", "compressed", "n").groupBy(*by)
+    if held is None:
+        return new.applyInArrow(lambda key, t: _unpacked(key, t, None, planes, signed), CODES)
+    return new.cogroup(held.groupBy(*by)).applyInArrow(lambda key, t, h: _unpacked(key, t, h, planes, signed), CODES)
 
 
 def dense(df: DataFrame, by: list[str], order: str = "idx") -> DataFrame:

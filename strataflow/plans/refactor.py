@@ -106,10 +106,9 @@ class Session:
     def coefficients(self, tau: float, most: int | None = None) -> DataFrame:
         plan = self.plan_for(tau, most)
         new = store.read_fragments(self.spark, self.path, plan, self.plan)
-        old = self.frags if self.plan is not None else None
-        self.frags = new if old is None else old.unionByName(new)
         self.plan = plan
-        got = encode.unpack(self.frags, self.planes, self.form)
+        # codes so far are kept in the shared folder, and new planes' bits added to them
+        self.codes = got = cut(encode.unpack(new, self.planes, self.form, self.codes))
         keys = ["block", "var", "level"]
         exps = self.manifest.select(*keys, "exp")
         value = bitplane.decode(F.col("code"), F.col("sign"), F.col("exp"), self.planes, F.col("taken"), self.form)

@@ -672,6 +672,27 @@ def store_progressive(spark: SparkSession, d: str) -> DataFrame:
     return both.select("block", "idx", (F.abs(F.col("value") - F.col("v64")) <= 64).alias("within_64"), (F.abs(F.col("value") - F.col("v1")) <= 1).alias("within_1"))
 
 
+_SIGNS_IN = f"count(*) FILTER (({_FIRST}) = p)"
+
+
+@query(_PB + f" SELECT CAST(p AS INTEGER) AS plane, CAST(ceil(count(*) / 8) + ceil({_SIGNS_IN} / 8) AS BIGINT) AS raw_size, count(*) AS n FROM c, range(0, {PLANES}) r(p) GROUP BY p")
+def pack_planes(spark: SparkSession, d: str) -> DataFrame:
+    """Planes as bytes: their bits, then the signs of elements whose first one is there."""
+    ship_package(spark)
+    coded = coded_events(spark, d, "perbit").select(F.lit(0).cast("bigint").alias("block"), F.lit("value").alias("var"), "level", F.col("idx").alias("pos"), "code", "sign")
+    return encode.fragments(coded, PLANES, "perbit", "none").select("plane", "raw_size", "n")
+
+
+@query(_PB + f" SELECT idx, {_pb_value(PLANES)} AS decoded FROM c")
+def compress_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Packed, compressed plane by plane while that pays, expanded and decoded."""
+    ship_package(spark)
+    coded = coded_events(spark, d, "perbit").select(F.lit(0).cast("bigint").alias("block"), F.lit("value").alias("var"), "level", F.col("idx").alias("pos"), "code", "sign", "exp")
+    exp = coded.select("block", "var", "level", "exp").distinct()
+    back = encode.unpack(encode.fragments(coded, PLANES, "perbit", "adaptive"), PLANES).join(exp, ["block", "var", "level"])
+    return back.select(F.col("pos").alias("idx"), bitplane.decode(F.col("code"), F.col("sign"), F.col("exp"), PLANES, PLANES).alias("decoded"))
+
+
 @query("SELECT p_partkey AS idx, true AS within FROM part")
 def precision_progressive(spark: SparkSession, d: str) -> DataFrame:
     """An approximation, and planes of what it leaves, to within 0.01."""
