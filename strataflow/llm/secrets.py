@@ -113,3 +113,17 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k, *_ in RULES]
     joined = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     return found.select(F.col("path").alias("doc_id"), *count, F.sha2(F.encode(joined, "UTF-8"), 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def _spans_sql(kind: str, nth: int, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, '{kind}' AS kind, {nth} AS nth, list_transform(range(1, len(hits) + 1), lambda i: [coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0), length(hits[i]), length(held[i])]) AS found
+ FROM (SELECT r, t, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS held, string_split_regex(t, '{p}') AS gaps FROM d)"""
+
+
+#: DuckDB SQL for op3_secret_ledger.
+ORACLE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ k AS ({' UNION ALL '.join(_spans_sql(k, i, p, g) for i, (k, p, g, _) in enumerate(RULES))}),
+ s AS (SELECT r, kind, nth, CAST(x[1] AS BIGINT) AS a, CAST(x[1] + x[2] AS BIGINT) AS b FROM (SELECT r, kind, nth, unnest(found) AS x FROM k) WHERE x[3] >= CASE WHEN kind = 'assign' THEN 6 ELSE 0 END),
+ g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, nth) AS spans FROM s GROUP BY r)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""

@@ -38,3 +38,14 @@ def test_edges(spark, edges, empty):
 
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        columns = sorted(df.columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(map(tuple, con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())), name
