@@ -20,7 +20,6 @@ special tokens inside a text are encoded as ordinary text. An empty table makes
 from __future__ import annotations
 
 import base64
-import hashlib
 import sys
 from array import array
 from collections.abc import Iterator
@@ -29,11 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.arrowtext import mix, release
-from strataflow.llm.bpe import split_settled, unsettled
 from strataflow.session import read_table, shared_path, ship_package
 
 
@@ -69,42 +68,14 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Words(dict):
-    """Ids of words as bytes, each encoded when it is first met; emptied when it holds too many."""
-
-    def __init__(self, layout: Layout, most: int = 400_000):
-        super().__init__()
-        self.encode, self.code, self.most = _encoding(layout.vocabulary).encode_ordinary, {2: "H", 4: "I"}[layout.width], most
-
-    def ids(self, text: str) -> bytes:
-        out = array(self.code, self.encode(text))
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.ids(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = out
-        return out
-
-
-@lru_cache(2)
-def _words(layout: Layout) -> _Words:
-    return _Words(layout)
-
-
-def _body(text: str | None, layout: Layout) -> bytes:
-    words, text = _words(layout), text or ""
-    # a text with characters that splitters may see otherwise is left to the tokenizer as a whole
-    return words.ids(text) if unsettled(text) else b"".join(map(words.__getitem__, split_settled(text)))
-
-
 def token_bytes(text: str | None, layout: Layout) -> bytes:
     """The text's ids and the end id, little-endian in layout.width bytes each."""
-    return _body(text, layout) + layout.end.to_bytes(layout.width, "little")
+    ids = _encoding(layout.vocabulary).encode_ordinary(text or "")
+    ids.append(layout.end)
+    out = array({2: "H", 4: "I"}[layout.width], ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def token_ids(text: str | None, layout: Layout) -> np.ndarray:
@@ -147,10 +118,10 @@ def count_sequences(docs: DataFrame, layout: Layout) -> dict[int, int]:
     """Number of sequences of each input partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, step = 0, layout.length * layout.width
+        encode, n = _encoding(layout.vocabulary).encode_ordinary, 0
         for batch in batches:
-            for text in batch.column("text"):
-                n += len(_body(text.as_py(), layout)) // step + 1
+            for text in batch.column("text").to_pylist():
+                n += len(encode(text or "")) // layout.length + 1
         release()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
@@ -171,16 +142,17 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
 
         at, step = bases.value.get(TaskContext.get().partitionId(), 0), layout.length * layout.width
         for batch in batches:
-            row, seq, ids = [], [], []
-            for i, text in enumerate(batch.column("text")):
-                all_ids = token_bytes(text.as_py(), layout)
-                for k, at_byte in enumerate(range(0, len(all_ids), step)):
-                    row.append(i)
-                    seq.append(k)
-                    ids.append(all_ids[at_byte : at_byte + step])
+            bodies = [token_bytes(text, layout) for text in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in bodies], np.int64)
+            n = -(-sizes // step)
+            row = np.repeat(np.arange(len(bodies)), n)
+            seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            starts = np.repeat(np.cumsum(sizes) - sizes, n) + seq * step
+            offs = np.append(starts, sizes.sum()).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(bodies))])
             slot = feistel(np.arange(at, at + len(row)), total, layout.key)
             at += len(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(seq, pa.int32()), pa.array(slot), pa.array(ids, pa.binary())], names=["doc_id", "seq", "slot", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(seq, pa.int32()), pa.array(slot), ids], names=["doc_id", "seq", "slot", "ids"])
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, seq int, slot long, ids binary")
@@ -193,7 +165,7 @@ def _opened(folder: str):
 
 
 def write_shards(placed: DataFrame, folder: str, layout: Layout) -> DataFrame:
-    """Writes the shards when its rows are asked for: doc_id, seq, slot, shard, at (byte in the shard), n_tokens, sha256 of the ids."""
+    """Writes the shards when its rows are asked for: doc_id, seq, slot, shard, at (byte in the shard), n_tokens, checksum (XXH64 of the ids' bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -228,14 +200,14 @@ def write_shards(placed: DataFrame, folder: str, layout: Layout) -> DataFrame:
                     pa.array(slots // layout.shard),
                     pa.array(slots % layout.shard * layout.stride),
                     pa.array([len(x) // layout.width for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array(np.array([xxhash.xxh64_intdigest(x) for x in ids], np.uint64).view(np.int64)),
                 ],
-                names=["doc_id", "seq", "slot", "shard", "at", "n_tokens", "ids_sha256"],
+                names=["doc_id", "seq", "slot", "shard", "at", "n_tokens", "checksum"],
             )
         close()
 
     kind = placed.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, seq int, slot long, shard long, at long, n_tokens long, ids_sha256 string")
+    return placed.mapInArrow(run, f"doc_id {kind}, seq int, slot long, shard long, at long, n_tokens long, checksum long")
 
 
 def materialise_order(docs: DataFrame, folder: str, layout: Layout) -> DataFrame:
@@ -267,5 +239,5 @@ def read_slots(folder: str, layout: Layout, start: int, stop: int) -> list[np.nd
 
 
 def op1_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, seq, slot, shard, at, n_tokens, ids_sha256 of every sequence, whose shards are written in the shared folder."""
+    """doc_id, seq, slot, shard, at, n_tokens, checksum of every sequence, whose shards are written in the shared folder."""
     return materialise_order(read_table(spark, sf_dir, "documents"), shared_path(spark, "training-shards"), default_layout())

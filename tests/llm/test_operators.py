@@ -1,6 +1,5 @@
 """Operators against brute force, round trips or held-out accuracy, and on odd rows."""
 
-import hashlib
 import math
 import random
 import re
@@ -35,7 +34,7 @@ def test_shards_round_trip(spark, edges, rows, tmp_path):
     got = shards.materialise_order(edges, str(tmp_path / "s"), layout).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
     read = shards.read_slots(str(tmp_path / "s"), layout, 0, len(got))
-    assert all(len(read[r.slot]) == r.n_tokens and hashlib.sha256(read[r.slot].tobytes()).hexdigest() == r.ids_sha256 for r in got)
+    assert all(len(read[r.slot]) == r.n_tokens and xxhash.xxh64_intdigest(read[r.slot].tobytes()) == r.checksum & (2**64 - 1) for r in got)
     assert [x.tolist() for x in shards.read_slots(str(tmp_path / "s"), layout, 47, 103)] == [x.tolist() for x in read[47:103]]
     assert all(f.stat().st_size % layout.stride == 0 for f in (tmp_path / "s").iterdir())
     encode = shards._encoding(layout.vocabulary).encode_ordinary
