@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.arrowtext import mix, release
+from strataflow.llm.arrowtext import mix, release, slices
 from strataflow.session import read_table, shared_path, ship_package
 
 
@@ -141,7 +141,7 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
         from pyspark import TaskContext
 
         at, step = bases.value.get(TaskContext.get().partitionId(), 0), layout.length * layout.width
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column("text"), 64_000_000)):
             bodies = [token_bytes(text, layout) for text in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in bodies], np.int64)
             n = -(-sizes // step)
