@@ -728,3 +728,20 @@ def stream_steps(spark: SparkSession, d: str) -> DataFrame:
 
     steps.each_step(steps.step_source(spark, source, rows.schema), work, marks)
     return spark.read.parquet(sink).groupBy("step").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query("SELECT o_orderpriority AS var, CAST(max(o_orderkey % 32) AS INTEGER) AS taken, CAST(max(o_orderkey % 32) AS BIGINT) AS fresh FROM orders GROUP BY 1")
+def stream_progressive(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for planes as a stream: what each variable holds at the end, and the planes that all requests added."""
+    ship_package(spark)
+    source, sink, marks = shared_path(spark, "requests"), shared_path(spark, "held"), shared_path(spark, "marks")
+    rows = read_table(spark, d, "orders").select(F.col("o_orderpriority").alias("var"), (F.col("o_orderkey") % 32).cast("int").alias("planes"))
+    rows.repartition(4).write.parquet(source)
+    held = steps.accumulate_planes(steps.step_source(spark, source, rows.schema), ["var"])
+
+    def work(batch: DataFrame, step: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={step}")
+
+    query = held.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(sink).groupBy("var").agg(F.max("taken").alias("taken"), F.sum("fresh").alias("fresh"))
