@@ -368,7 +368,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _anchor_rows(keyed)
-    often = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot"))
+    # written, so that both sides of the join below are plain exchanges, of which Spark splits a frequent anchor's part
+    often = materialise(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot")), "suffix-often")
     least = F.coalesce("doc_id", F.lit(-(2**63)))
     firsts = keyed.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("_sha")).agg(F.min(F.struct(least.alias("doc"), "key")).alias("_first")).select(F.col("_first.key").alias("key"))
     firsts = materialise(firsts, "suffix-firsts")
