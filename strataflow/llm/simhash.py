@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     nodes = cut(printed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names)))
     roots = connected_components(links(nodes.select("node", *names), lanes, radius, lead))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are plain exchanges, of which Spark splits a large component's part
+    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     by_node = rooted.join(ids, "root").select("node", "component_id")
     return printed.join(by_node, "node").select("doc_id", *names, "component_id")
 
