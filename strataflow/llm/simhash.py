@@ -15,7 +15,8 @@ words than a shingle has, the whole sequence is the one shingle. Exact copies an
 and a component. A null doc_id keeps its row; a component's id is its least doc_id that isn't null, or null without
 any. An empty table gives an empty result.
 
-The comparison is exact, and so grows with the square of the number of distinct fingerprints.
+The comparison is exact, and so grows with the square of the number of distinct fingerprints. `similar` uses the links
+only to select, and confirms pairs by their shingles.
 """
 
 from __future__ import annotations
@@ -38,12 +39,28 @@ from strataflow.session import cut, materialise, read_table, ship_package
 TILE, BLOCK = 4_096, 512
 #: From this many tiles on, tiles grow, up to WIDE fingerprints; then their number does.
 TILES, WIDE = 64, 4_194_304
+#: Texts, and shingles, in a chunk of a loose component, about.
+CHUNK, CHUNK_SHINGLES = 256, 1_000_000
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack([h, *(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) for k in range(1, lanes))], axis=1)
 
 
+def _shingles(text: bytes | None, size: int) -> list[int]:
+    """Hashes of a text's shingles, in order."""
+    words = (text or b"").lower().split()
+    if not words:
+        return []
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(map((1).__add__, map(len, words))))
+    return [digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[min(size, len(words)) - 1 :])]  # noqa: B905
+
+
+def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(np.array(_shingles(text, size), np.uint64))
+
+
 class _Signer:
     """Fingerprints of texts, one after another; the bits of many texts are counted at once."""
 
@@ -55,15 +72,11 @@ class _Signer:
         self.large: np.ndarray | None = None
 
     def add(self, text: bytes | None) -> None:
-        words = (text or b"").lower().split()
-        if not words:
-            self.sizes.append(0)
-            return
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = list(accumulate(map((1).__add__, map(len, words))))
-        k = min(self.words, len(words))
-        self.hashes.extend([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[k - 1 :])])  # noqa: B905
-        self.sizes.append(len(words) - k + 1)
+        self.put(_shingles(text, self.words))
+
+    def put(self, hashes: list[int]) -> None:
+        self.hashes.extend(hashes)
+        self.sizes.append(len(hashes))
         if len(self.hashes) >= self.flush:
             self.done()
 
@@ -235,11 +248,103 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     printed = materialise(fingerprints(docs, words, lanes), "simhash").withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*names))
     nodes = cut(printed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names)))
     roots = connected_components(links(nodes.select("node", *names), lanes, radius, lead))
+    return printed.join(_component_ids(nodes, roots), "node").select("doc_id", *names, "component_id")
+
+
+def _component_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id: the least doc_id of the component."""
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # written, so that both sides of the join are plain exchanges, of which Spark splits a large component's part
     ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
-    by_node = rooted.join(ids, "root").select("node", "component_id")
-    return printed.join(by_node, "node").select("doc_id", *names, "component_id")
+    return rooted.join(ids, "root").select("node", "component_id")
+
+
+def _set_prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """doc_id, key (of the text), lanes of the fingerprint of the set of shingles, the set's own hash, its size."""
+    names = [f"f{i}" for i in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = _Signer(words, lanes)
+        for batch in batches:
+            own, size = [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                s = _shingle_set(text.as_py(), words)
+                signer.put(s.tolist())
+                own.append(int(mix(s).sum(dtype=np.uint64)))
+                size.append(len(s))
+            f = signer.take().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(lanes)), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(size, pa.int64())], names=["doc_id", "key", *names, "own", "size"])
+        release()
+
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in ("key", *names, "own", "size"))])
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
+
+
+def _confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is at least that, by breadth-first search."""
+    size = np.array([len(s) for s in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(size)))
+    parts = [code[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    edges, held = [], np.zeros(len(values), bool)
+    rest, queue = np.flatnonzero(size), []
+    while queue or len(rest):
+        if queue:
+            u = queue.pop()
+        else:
+            u, rest = int(rest[0]), rest[1:]
+        near = rest[np.minimum(size[rest], size[u]) >= similarity * np.maximum(size[rest], size[u]) - 1e-9]
+        if not len(near):
+            continue
+        held[parts[u]] = True
+        both = np.add.reduceat(held[np.concatenate([parts[v] for v in near])], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+        held[parts[u]] = False
+        hit = near[both >= similarity * (size[near] + size[u] - both) - 1e-9]
+        edges += [(u, int(v)) for v in hit]
+        queue += hit.tolist()
+        rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return edges
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4, radius: int = 72, lead: int = 24) -> DataFrame:
+    """Per row of docs: doc_id, component_id, of links of at least that Jaccard similarity of the sets of shingles.
+
+    Fingerprints of sets within the radius make loose components. All pairs in one of these are compared by their
+    shingles, and only pairs that reach the similarity are links. Members of a large loose component are dealt into
+    chunks, and each pair of chunks is a group of its own. Texts without a word are alike.
+    """
+    ship_package(docs.sparkSession)
+    names = [f"f{i}" for i in range(lanes)]
+    printed = materialise(_set_prints(docs, words, lanes), "simhash").withColumn("node", F.xxhash64(*names, "own", "size"))
+    nodes = cut(printed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("size").alias("size"), *(F.min(n).alias(n) for n in names)))
+    loose = connected_components(links(nodes.select("node", *names), lanes, radius, lead))
+    rooted = nodes.select("node", "key", "size").join(loose, "node")
+    many = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES))
+    chunks = materialise(rooted.groupBy("root").agg(many.cast("int").alias("chunks")), "simhash-chunks")
+    dealt = cut(rooted.join(chunks, "root").select("node", "key", "root", "chunks"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingle_set(t.as_py(), words).tobytes() for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "root", "chunks")] + [pa.array(found, pa.binary())], names=["node", "root", "chunks", "set"])
+        release()
+
+    # the least of copies is taken before the exchange too, so a frequent text is no large task
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(dealt, "key").select("node", "root", "chunks", "text")
+    one = texts.groupBy("node", "root", "chunks").agg(F.min("text").alias("text"))
+    made = one.mapInArrow(sets, "node long, root long, chunks int, set binary")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    spread = made.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = spread.select("root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "set")
+
+    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        edges = np.array(_confirmed([np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")], similarity), np.int64).reshape(-1, 2)
+        return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
+
+    roots = connected_components(spread.groupBy("root", "a", "b").applyInArrow(check, "src long, dst long"))
+    return printed.select("doc_id", "node").join(_component_ids(nodes, roots), "node").select("doc_id", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

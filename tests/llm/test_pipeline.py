@@ -1,5 +1,6 @@
 """The pipeline, stage by stage."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -29,6 +30,25 @@ def test_stages(spark):
     assert last.count() == sizes[-1]
 
 
+def test_near_dedup_is_by_similarity(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for g in range(60):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(64)]
+        shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        # 48 of 60 shingles (0.8), 47 of 60, and two changed words: 50 of 70
+        for k, cut in enumerate((52, 51, 64)):
+            other = words[:cut] if cut < 64 else [*words[:20], "x", *words[21:40], "y", *words[41:]]
+            a, b = shingles(words), shingles(other)
+            pairs.append((6 * g + 2 * k, 6 * g + 2 * k + 1, len(a & b) / len(a | b)))
+            rows += [(6 * g + 2 * k, " ".join(f"{w}{k}" for w in words), "en", "s", 1), (6 * g + 2 * k + 1, " ".join(f"{w}{k}" for w in other), "en", "s", 1)]
+    rows += [(1000, "one two three four five six seven " * 30, "en", "s", 1), (1001, "one two three four five six seven " * 3, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert {0.8} & {p for *_, p in pairs} and min(p for *_, p in pairs) < 0.8
+    assert kept == {i for i, _, _ in pairs} | {j for _, j, p in pairs if p < 0.8} | {1000}
+
+
 def test_edges(spark, edges, empty):
     for docs in (edges.select(*corpus_pipeline.COLUMNS), empty.select(*corpus_pipeline.COLUMNS)):
         for _, stage in corpus_pipeline.STAGES:
