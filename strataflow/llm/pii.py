@@ -2,8 +2,10 @@
 
 The base kinds (email, ip, card, phone) are found by their form. Each find, and each other token that looks like an
 identifier, votes in a graph of contexts (the words around) and instances (the strings): in each round, contexts whose
-instances are mostly of one known kind are trusted, and the unknown instances in them take that kind and vote in the
-next round. Finds by context are added to the base spans, never replacing one.
+known instances are mostly of one kind are trusted, and the unknown instances in them take that kind for good and vote
+in the next round, until a round learns nothing. Known instances of other kinds count in full against a context; u
+unknown ones only as UNKNOWN * log2(1 + u), so that a context may hold many, but with more support. Finds by context
+are added to the base spans, never replacing one.
 
 A token looks like an identifier if it is of 5 to 64 characters with at least 4 digits; longer tokens are no
 identifiers. Texts are searched whole.
@@ -26,7 +28,7 @@ from strataflow.llm.arrowtext import slices
 from strataflow.session import cut, materialise, read_table, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
+SUPPORT, CONFIDENCE, UNKNOWN = 5, 0.9, 0.1
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -151,23 +153,28 @@ def mentions(docs: DataFrame) -> DataFrame:
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def bootstrap(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """instance and kind of the unknown instances that trusted patterns hold.
 
     found: instance, kind (null: unknown), pattern.
     """
     edges = cut(found.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
-    learned = None
-    for _ in range(rounds):
+    learned, told = None, 0
+    while True:
         known = edges if learned is None else edges.join(learned.withColumnRenamed("kind", "_kind"), "instance", "left").select("pattern", "instance", F.coalesce("kind", "_kind").alias("kind"))
-        votes = known.groupBy("pattern", F.coalesce("kind", F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
-        scored = votes.groupBy("pattern").agg(F.max_by("kind", F.when(F.col("kind") != "", F.col("n")).otherwise(-1)).alias("kind"), F.max(F.when(F.col("kind") != "", F.col("n")).otherwise(0)).alias("best"), F.sum("n").alias("all"))
-        trusted = scored.where((F.col("best") >= support) & (F.col("best") >= confidence * F.col("all")))
-        trusted = trusted.select("pattern", F.col("kind").alias("_kind"), (F.col("best") / F.col("all")).alias("_trust"))
+        votes = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        n = F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)
+        scored = votes.groupBy("pattern").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("_kind"), F.max(n).alias("best"), F.sum(n).alias("known"), F.sum(F.col("n") - n).alias("unknown"))
+        trust = F.col("best") / (F.col("known") + UNKNOWN * F.log2(1 + F.col("unknown")))
+        trusted = scored.where(F.col("best") >= support).withColumn("_trust", trust).where(F.col("_trust") >= confidence).select("pattern", "_kind", "_trust")
         # an instance takes the kind of its most trusted pattern
-        gained = edges.where("kind is null").join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("_trust", "_kind")).alias("_top"))
-        learned = cut(gained.select("instance", F.col("_top._kind").alias("kind")))
-    return learned
+        gained = known.where("kind is null").join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("_trust", "_kind")).alias("_top"))
+        gained = gained.select("instance", F.col("_top._kind").alias("kind"))
+        learned = cut(gained if learned is None else learned.unionByName(gained))
+        now = learned.count()
+        if now == told:
+            return learned
+        told = now
 
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:

@@ -185,6 +185,26 @@ def test_contexts_find_the_unseen(spark):
     assert got[100].added == "email:16:32" and got[101].added == "" and all(got[i].base.startswith("email:") and not got[i].added for i in range(12))
 
 
+def test_contexts_find_several_unseen(spark):
+    known = [(i, f"please write to user{i}@mail.example.org today") for i in range(12)]
+    hidden = [(100 + i, f"please write to user77{i:02}(at)mail today") for i in range(30)]
+    got = {r.doc_id: r.added for r in pii.find(docs_of(spark, known + hidden)).collect()}
+    assert all(got[100 + i] == "email:16:32" for i in range(30))
+
+
+def test_contexts_in_conflict_teach_nothing(spark):
+    rows = [(f"e{i}", "email", "p") for i in range(8)] + [(f"i{i}", "ip", "p") for i in range(2)] + [("x", None, "p")]
+    assert pii.bootstrap(spark.createDataFrame(rows, "instance string, kind string, pattern string")).count() == 0
+
+
+def test_contexts_until_nothing_is_learned(spark):
+    rows = [(f"e{i}", "email", "p0") for i in range(5)]
+    for p in range(6):  # what a pattern teaches supports the next
+        rows += [(f"x{p}-{i}", None, f"p{p + k}") for i in range(5) for k in (0, 1)]
+    got = {r.instance: r.kind for r in pii.bootstrap(spark.createDataFrame(rows, "instance string, kind string, pattern string")).collect()}
+    assert got == {f"x{p}-{i}": "email" for p in range(6) for i in range(5)}
+
+
 def test_pii_edges(spark, edges, empty, rows):
     got = pii.find(edges).collect()
     assert len(got) == len(rows) and all(r.base == "" and r.added == "" for r in got)
