@@ -11,9 +11,13 @@ placements that count cover the given share of the item's windows.
 A bit for each of 2^24 hash prefixes of the benchmark's windows, a table of fixed size, is what the documents are
 sifted with; the join itself is on the full hash, dealt out by it.
 
-Cases: null and empty texts have no windows. An item of fewer than WORDS words (but at least LEAST) is one window of
-its own length; shorter items can't be told from chance and are never matched. Windows with fewer than half literal
-words are left out, and an item without any other window is never matched. Repeated items or rows are matched each;
+Beside these, windows of the words as they are, without slots, are joined in the same way, so that items of mostly
+numbers or names are found word for word. The coverage is the largest of the shares of the windows with slots, of these
+and those with plain names, and of all.
+
+Cases: null and empty texts have no windows. An item of fewer than WORDS words is one window of its own length; one of
+fewer than LEAST is matched word for word only. Windows with slots and fewer than half literal words are left out.
+Repeated items or rows are matched each;
 rows with equal doc_id and text are one. Null ids of items and documents stay null in the result. Empty tables give
 an empty result; other columns are not carried.
 """
@@ -51,13 +55,15 @@ def _hashes(words: list[str]) -> np.ndarray:
     return tokens(*utf8(column))[2]
 
 
-def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths, hashes (slots replaced), slot kinds (0 none, 1 number, 2 name, 3 unit) of all words, and n + 1 offsets of documents' words."""
+def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None, names: bool = True, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, hashes (slots replaced), slot kinds (0 none, 1 number, 2 name, 3 unit) of all words, and n + 1 offsets of documents' words. exact: no slots."""
     starts, lens, h, kind, docs = tokens(data, offs, low)
     word = kind == 1
     if not word.any():
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), z, np.zeros(len(offs), np.int64)
+    if exact:
+        return starts[word], lens[word], h[word], np.zeros(int(word.sum()), np.int64), np.concatenate(([0], np.cumsum(word)))[docs]
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
     digit = (first >= 48) & (first <= 57)
@@ -80,15 +86,17 @@ def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None,
     return starts[word], lens[word], h[word], slot[word], place[docs]
 
 
-def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int, names: bool = True) -> dict[str, list]:
+def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int, names: bool = True, exact: bool = False) -> dict[str, list]:
     """Windows of some texts: row, position, hash, slots. wanted: bits of hash prefixes; whole: texts of fewer words are one window."""
     data, offs = utf8(column)
-    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs), names)
+    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs), names, exact)
     sizes = np.diff(docs)
     row_of = np.repeat(np.arange(len(sizes)), sizes)
     literal = np.concatenate(([0], np.cumsum(slot == 0)))
     out: dict[str, list] = {"row": [], "pos": [], "hash": [], "slots": [], "n": []}
     for w in lengths:
+        if w < LEAST and not exact:
+            continue
         hw = mix(windows(h, w) + np.uint64(w))
         at = np.arange(len(hw))
         ok = row_of[at] == row_of[at + w - 1] if len(hw) else np.zeros(0, bool)
@@ -99,6 +107,8 @@ def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None
             prefix = hw >> np.uint64(64 - PREFIX_BITS)
             ok &= (wanted[prefix >> np.uint64(3)] >> (prefix & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         at = at[ok]
+        if w < LEAST:  # once a text
+            at = at[np.sort(np.unique(np.stack((row_of[at].astype(np.uint64), hw[at])), axis=1, return_index=True)[1])]
         for i in at.tolist():
             values = [data[starts[j] : starts[j] + lens[j]].tobytes().decode("utf-8", "replace").lower() for j in range(i, i + w) if slot[j]] if slot[i : i + w].any() else []
             out["slots"].append(values)
@@ -116,25 +126,29 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 w = _window_rows(part.column("text"), lengths, bits, whole)
-                if whole:  # an item's names also stand for themselves, as texts in one case have none
-                    held = set(zip(w["row"], w["pos"], w["hash"], strict=True))
-                    plain = _window_rows(part.column("text"), lengths, bits, whole, names=False)
-                    new = [i for i, x in enumerate(zip(plain["row"], plain["pos"], plain["hash"], strict=True)) if x not in held]
-                    for c in w:
-                        w[c] += [plain[c][i] for i in new]
+                w["variant"] = [0] * len(w["row"])
+                held = set(zip(w["row"], w["pos"], w["hash"], strict=True))
+                # an item's names also stand for themselves, as texts in one case have none; and all words of all texts
+                for variant, how in ([(1, {"names": False})] if whole else []) + [(2, {"exact": True})]:
+                    more = _window_rows(part.column("text"), lengths, bits, whole, **how)
+                    new = [i for i, x in enumerate(zip(more["row"], more["pos"], more["hash"], strict=True)) if x not in held]
+                    held.update((more["row"][i], more["pos"][i], more["hash"][i]) for i in new)
+                    for c in more:
+                        w[c] += [more[c][i] for i in new]
+                    w["variant"] += [variant] * len(new)
                 rows = pa.array(w["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string()))], names=[key, "key", "pos", "n", "hash", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string())), pa.array(w["variant"], pa.int32())], names=[key, "key", "pos", "n", "hash", "slots", "variant"])
         release()
 
     kind = table.schema[key].dataType.simpleString()
-    return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>")
+    return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>, variant int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, key (of the row: xxhash64 of doc_id and text), n_windows matched, coverage, changed (some slot differs)."""
     spark = docs.sparkSession
     ship_package(spark)
-    items = cut(_windows(benchmark.select("item_id", "text").distinct(), "item_id", list(range(LEAST, words + 1)), whole=words))
+    items = cut(_windows(benchmark.select("item_id", "text").distinct(), "item_id", list(range(1, words + 1)), whole=words))
     words_of = items.select("n").distinct().collect()  # a few lengths
     prefix = F.shiftrightunsigned("hash", 64 - PREFIX_BITS)
     bits = np.zeros(1 << PREFIX_BITS - 3, np.uint8)
@@ -145,16 +159,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
     else:
         lengths = sorted(r["n"] for r in words_of)
     found = _windows(docs, "doc_id", lengths, spark.sparkContext.broadcast(bits.tobytes()))
-    total = items.groupBy("item_id", "key").agg(F.count_distinct("pos").alias("total"))
-    left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"))
-    met = found.join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
-    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))
+    upto = [F.when(F.col("variant") <= v, F.col("pos")) for v in range(3)]
+    total = items.groupBy("item_id", "key").agg(*(F.count_distinct(p).alias(f"total{v}") for v, p in enumerate(upto)))
+    left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"))
+    met = found.drop("variant").join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
+    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", "item_variant", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))
     placement = ["key", "item_key", "offset"]
     faced = met.select(*placement, F.explode("pairs").alias("p")).select(*placement, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).groupBy(*placement, "old").agg(F.count_distinct("new").alias("k"), F.max(F.col("new") != F.col("old")).alias("changed"))
     odd = faced.groupBy(*placement).agg(F.max("k").alias("k"), F.max("changed").alias("changed"))
-    counted = met.select("doc_id", "item_id", *placement, "item_pos").join(odd, placement, "left").where(F.coalesce("k", F.lit(1)) == 1)
-    hit = counted.groupBy("doc_id", "key", "item_id", "item_key").agg(F.count_distinct("item_pos").alias("n_windows"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
-    share = hit.join(total.select(F.col("key").alias("item_key"), "total"), "item_key").withColumn("coverage", F.col("n_windows") / F.col("total"))
+    counted = met.select("doc_id", "item_id", *placement, "item_pos", "item_variant").join(odd, placement, "left").where(F.coalesce("k", F.lit(1)) == 1)
+    hit = counted.groupBy("doc_id", "key", "item_id", "item_key").agg(*(F.count_distinct(F.when(F.col("item_variant") <= v, F.col("item_pos"))).alias(f"hit{v}") for v in range(3)), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
+    parts = [F.coalesce(F.try_divide(f"hit{v}", f"total{v}"), F.lit(0.0)) for v in range(3)]
+    share = hit.join(total.select(F.col("key").alias("item_key"), *(f"total{v}" for v in range(3))), "item_key").withColumn("coverage", F.greatest(*parts)).withColumnRenamed("hit2", "n_windows")
     return share.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "key", "n_windows", "coverage", "changed")
 
 

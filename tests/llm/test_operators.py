@@ -247,6 +247,13 @@ def test_leaks_by_containment(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == set(texts) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("item", ["What is 3 + 4 + 5 + 6 + 7 + 8?", "Visit Rome, Paris, London, Berlin, Madrid, Vienna, Oslo, Lima, Cairo, Quito and Delhi", "capital of Peru", "so Anna, 12, met Bob, 13, Carl, 14, Dora, 15, Emil, 16"])
+def test_verbatim_copies_whatever_the_slots(spark, item):
+    docs = docs_of(spark, [(1, f"well, {item} and so on"), (2, f"well, {item.lower()} and so on"), (3, "nothing of the kind is in here at all, what is 3 and who is Anna")])
+    got = {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {1, 2}
+
+
 def test_leak_edges(spark, edges, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, ITEM), (None, "no id here at all")], "item_id long, text string")
     got = decontaminate.find_leaks(edges, items).collect()
