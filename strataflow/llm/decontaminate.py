@@ -5,7 +5,8 @@ typed slots, other words into hashes of their lower-cased bytes, and punctuation
 words of documents and benchmark items are joined by hash. Windows of a document that lie along one item at one offset
 are a placement; it counts if each value that fills a slot of the item faces one value only in the document, so a
 question with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
-time with names as plain words, for documents in capitals or without any. A document leaks an item if
+time with names as plain words, for documents in capitals or without any. A capitalised word that begins a sentence or
+line may be a name or not, so windows with one are there both ways, of items and of documents. A document leaks an item if
 placements that count cover the given share of the item's windows.
 
 A bit for each of 2^24 hash prefixes of the benchmark's windows, a table of fixed size, is what the documents are
@@ -55,8 +56,8 @@ def _hashes(words: list[str]) -> np.ndarray:
     return tokens(*utf8(column))[2]
 
 
-def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None, names: bool = True, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths, hashes (slots replaced), slot kinds (0 none, 1 number, 2 name, 3 unit) of all words, and n + 1 offsets of documents' words. exact: no slots."""
+def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None, names: bool = True, exact: bool = False, initial: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, hashes (slots replaced), slot kinds (0 none, 1 number, 2 name, 3 unit) of all words, and n + 1 offsets of documents' words. exact: no slots; initial: names also where sentences begin."""
     starts, lens, h, kind, docs = tokens(data, offs, low)
     word = kind == 1
     if not word.any():
@@ -76,7 +77,7 @@ def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None,
     inner[docs[:-1][docs[:-1] < len(starts)]] = False
     lines = np.cumsum(data == 10)
     inner[1:] &= lines[starts[1:]] == lines[before_end - 1]
-    slot = np.where(digit, 1, np.where(title & inner & names, 2, 0))
+    slot = np.where(digit, 1, np.where(title & (inner | initial) & names, 2, 0))
     numbered = np.zeros(len(starts), bool)
     numbered[1:] = slot[:-1] == 1
     numbered[docs[:-1][docs[:-1] < len(starts)]] = False
@@ -86,10 +87,10 @@ def template(data: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None,
     return starts[word], lens[word], h[word], slot[word], place[docs]
 
 
-def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int, names: bool = True, exact: bool = False) -> dict[str, list]:
+def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None, whole: int, names: bool = True, exact: bool = False, initial: bool = False) -> dict[str, list]:
     """Windows of some texts: row, position, hash, slots. wanted: bits of hash prefixes; whole: texts of fewer words are one window."""
     data, offs = utf8(column)
-    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs), names, exact)
+    starts, lens, h, slot, docs = template(data, offs, lowered(column, data, offs), names, exact, initial)
     sizes = np.diff(docs)
     row_of = np.repeat(np.arange(len(sizes)), sizes)
     literal = np.concatenate(([0], np.cumsum(slot == 0)))
@@ -128,8 +129,8 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
                 w = _window_rows(part.column("text"), lengths, bits, whole)
                 w["variant"] = [0] * len(w["row"])
                 held = set(zip(w["row"], w["pos"], w["hash"], strict=True))
-                # an item's names also stand for themselves, as texts in one case have none; and all words of all texts
-                for variant, how in ([(1, {"names": False})] if whole else []) + [(2, {"exact": True})]:
+                # a sentence's first word may be a name; an item's names also stand for themselves, as texts in one case have none; and all words of all texts
+                for variant, how in [(0, {"initial": True})] + ([(1, {"names": False})] if whole else []) + [(2, {"exact": True})]:
                     more = _window_rows(part.column("text"), lengths, bits, whole, **how)
                     new = [i for i, x in enumerate(zip(more["row"], more["pos"], more["hash"], strict=True)) if x not in held]
                     held.update((more["row"][i], more["pos"][i], more["hash"][i]) for i in new)

@@ -254,6 +254,13 @@ def test_verbatim_copies_whatever_the_slots(spark, item):
     assert got == {1, 2}
 
 
+def test_renamed_sentences(spark):
+    item = "Anna has 12 apples in a basket. Anna buys 5 apples more today. Bob takes 3 apples from her. How many apples are left for lunch?"
+    docs = docs_of(spark, [(1, item.replace("Anna", "Carla").replace("Bob", "Emil").replace("12", "40")), (2, item)])
+    got = {r.doc_id: (r.changed, r.coverage) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got[1] == (True, 1.0) and got[2] == (False, 1.0)
+
+
 def test_leak_edges(spark, edges, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, ITEM), (None, "no id here at all")], "item_id long, text string")
     got = decontaminate.find_leaks(edges, items).collect()
