@@ -7,7 +7,7 @@ are a placement; it counts if each value that fills a slot of the item faces one
 question with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
 time with names as plain words, for documents in capitals or without any. A capitalised word that begins a sentence or
 line may be a name or not, so windows with one are there both ways, of items and of documents. A document leaks an item if
-placements that count cover the given share of the item's windows.
+placements that count cover the given share of the item's windows, or one of them covers RUN consecutive words.
 
 A bit for each of 2^24 hash prefixes of the benchmark's windows, a table of fixed size, is what the documents are
 sifted with; the join itself is on the full hash, dealt out by it.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.arrowtext import lowered, mix, release, slices, tokens, utf8, windows
 from strataflow.session import cut, read_table, ship_package
 
-WORDS, LEAST, COVERAGE = 8, 5, 0.3
+WORDS, LEAST, COVERAGE, RUN = 8, 5, 0.3, 13
 PREFIX_BITS = 24
 
 #: Units that a number may carry.
@@ -145,7 +145,7 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
     return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>, variant int")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """doc_id, item_id, key (of the row: xxhash64 of doc_id and text), n_windows matched, coverage, changed (some slot differs)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -164,15 +164,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
     total = items.groupBy("item_id", "key").agg(*(F.count_distinct(p).alias(f"total{v}") for v, p in enumerate(upto)))
     left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"))
     met = found.drop("variant").join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
-    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", "item_variant", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))
+    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", "item_variant", "n", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))
     placement = ["key", "item_key", "offset"]
     faced = met.select(*placement, F.explode("pairs").alias("p")).select(*placement, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).groupBy(*placement, "old").agg(F.count_distinct("new").alias("k"), F.max(F.col("new") != F.col("old")).alias("changed"))
     odd = faced.groupBy(*placement).agg(F.max("k").alias("k"), F.max("changed").alias("changed"))
-    counted = met.select("doc_id", "item_id", *placement, "item_pos", "item_variant").join(odd, placement, "left").where(F.coalesce("k", F.lit(1)) == 1)
+    counted = met.select("doc_id", "item_id", *placement, "item_pos", "item_variant", "n").join(odd, placement, "left").where(F.coalesce("k", F.lit(1)) == 1)
+    # consecutive windows of one placement that make up a run of words
+    need = max(1, run - words + 1)
+    at = counted.where(F.col("n") == words).groupBy("doc_id", *placement).agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
+    longest = F.exists(F.sequence(F.lit(0), F.size("at") - need), lambda i: F.get("at", i + need - 1) - F.get("at", i) == need - 1)
+    runs = at.where(F.size("at") >= need).where(longest).select("key", "item_key", F.lit(True).alias("run")).distinct()
     hit = counted.groupBy("doc_id", "key", "item_id", "item_key").agg(*(F.count_distinct(F.when(F.col("item_variant") <= v, F.col("item_pos"))).alias(f"hit{v}") for v in range(3)), F.coalesce(F.max("changed"), F.lit(False)).alias("changed"))
     parts = [F.coalesce(F.try_divide(f"hit{v}", f"total{v}"), F.lit(0.0)) for v in range(3)]
     share = hit.join(total.select(F.col("key").alias("item_key"), *(f"total{v}" for v in range(3))), "item_key").withColumn("coverage", F.greatest(*parts)).withColumnRenamed("hit2", "n_windows")
-    return share.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "key", "n_windows", "coverage", "changed")
+    share = share.join(runs, ["key", "item_key"], "left")
+    return share.where((F.col("coverage") >= coverage) | F.col("run")).select("doc_id", "item_id", "key", "n_windows", "coverage", "changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:

@@ -261,6 +261,13 @@ def test_renamed_sentences(spark):
     assert got[1] == (True, 1.0) and got[2] == (False, 1.0)
 
 
+def test_passages_of_long_items(spark):
+    words = [f"word{i}" for i in range(400)]
+    docs = docs_of(spark, [(1, "so " + " ".join(words[100:200]) + " end"), (2, " ".join(words[30:43])), (3, " ".join(words[30:42]))])
+    got = {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {1, 2}
+
+
 def test_leak_edges(spark, edges, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, ITEM), (None, "no id here at all")], "item_id long, text string")
     got = decontaminate.find_leaks(edges, items).collect()
