@@ -3,11 +3,13 @@
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units (after a number) turn into
 typed slots, other words into hashes of their lower-cased bytes, and punctuation goes. Windows of WORDS template
 words of documents and benchmark items are joined by hash. Windows of a document that lie along one item at one offset
-are a placement; it counts if each value that fills a slot of the item faces one value only in the document, so a
-question with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
+are a placement. In it a value of the item's slots is bound to the value it faces in the document in at least half of
+its places, if there is one; windows with another value there don't count, unless it is the item's own. So a question
+with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
 time with names as plain words, for documents in capitals or without any. A capitalised word that begins a sentence or
 line may be a name or not, so windows with one are there both ways, of items and of documents. A document leaks an item if
-placements that count cover the given share of the item's windows, or one of them covers RUN consecutive words.
+windows that count cover the given share of the item's windows, or those of one placement cover RUN
+consecutive words.
 
 A bit for each of 2^24 hash prefixes of the benchmark's windows, a table of fixed size, is what the documents are
 sifted with; the join itself is on the full hash, dealt out by it.
@@ -94,7 +96,7 @@ def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None
     sizes = np.diff(docs)
     row_of = np.repeat(np.arange(len(sizes)), sizes)
     literal = np.concatenate(([0], np.cumsum(slot == 0)))
-    out: dict[str, list] = {"row": [], "pos": [], "hash": [], "slots": [], "n": []}
+    out: dict[str, list] = {"row": [], "pos": [], "hash": [], "slots": [], "places": [], "n": []}
     for w in lengths:
         if w < LEAST and not exact:
             continue
@@ -111,8 +113,10 @@ def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None
         if w < LEAST:  # once a text
             at = at[np.sort(np.unique(np.stack((row_of[at].astype(np.uint64), hw[at])), axis=1, return_index=True)[1])]
         for i in at.tolist():
-            values = [data[starts[j] : starts[j] + lens[j]].tobytes().decode("utf-8", "replace").lower() for j in range(i, i + w) if slot[j]] if slot[i : i + w].any() else []
+            places = [j for j in range(i, i + w) if slot[j]] if slot[i : i + w].any() else []
+            values = [data[starts[j] : starts[j] + lens[j]].tobytes().decode("utf-8", "replace").lower() for j in places]
             out["slots"].append(values)
+            out["places"].append([j - int(docs[row_of[i]]) for j in places])
         out["row"] += row_of[at].tolist()
         out["pos"] += (at - docs[row_of[at]]).tolist()
         out["hash"] += hw[at].view(np.int64).tolist()
@@ -138,11 +142,11 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
                         w[c] += [more[c][i] for i in new]
                     w["variant"] += [variant] * len(new)
                 rows = pa.array(w["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string())), pa.array(w["variant"], pa.int32())], names=[key, "key", "pos", "n", "hash", "slots", "variant"])
+                yield pa.RecordBatch.from_arrays([part.column(key).take(rows), part.column("key").take(rows), pa.array(w["pos"], pa.int32()), pa.array(w["n"], pa.int32()), pa.array(w["hash"], pa.int64()), pa.array(w["slots"], pa.list_(pa.string())), pa.array(w["places"], pa.list_(pa.int32())), pa.array(w["variant"], pa.int32())], names=[key, "key", "pos", "n", "hash", "slots", "places", "variant"])
         release()
 
     kind = table.schema[key].dataType.simpleString()
-    return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>, variant int")
+    return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>, places array<int>, variant int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
@@ -162,13 +166,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
     found = _windows(docs, "doc_id", lengths, spark.sparkContext.broadcast(bits.tobytes()))
     upto = [F.when(F.col("variant") <= v, F.col("pos")) for v in range(3)]
     total = items.groupBy("item_id", "key").agg(*(F.count_distinct(p).alias(f"total{v}") for v, p in enumerate(upto)))
-    left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"))
-    met = found.drop("variant").join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
-    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", "item_variant", "n", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs")))
+    left = items.select("item_id", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"), "places", F.col("variant").alias("item_variant"))
+    met = found.drop("variant", "places").join(left, ["hash", "n"]).where(F.size("slots") == F.size("item_slots"))
+    met = cut(met.select("doc_id", "key", "item_id", "item_key", "item_pos", "item_variant", "n", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots", "places").alias("pairs")))
     placement = ["key", "item_key", "offset"]
-    faced = met.select(*placement, F.explode("pairs").alias("p")).select(*placement, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).groupBy(*placement, "old").agg(F.count_distinct("new").alias("k"), F.max(F.col("new") != F.col("old")).alias("changed"))
-    odd = faced.groupBy(*placement).agg(F.max("k").alias("k"), F.max("changed").alias("changed"))
-    counted = met.select("doc_id", "item_id", *placement, "item_pos", "item_variant", "n").join(odd, placement, "left").where(F.coalesce("k", F.lit(1)) == 1)
+    faced = met.select(*placement, F.explode("pairs").alias("p")).groupBy(*placement, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).agg(F.count_distinct("p.places").alias("k"))
+    most = faced.groupBy(*placement, "old").agg(F.max(F.struct("k", F.col("new").eqNullSafe(F.col("old")).alias("same"), "new")).alias("top"), F.sum("k").alias("all"))
+    bound = most.where(2 * F.col("top.k") >= F.col("all")).groupBy(*placement).agg(F.map_from_entries(F.collect_list(F.struct("old", F.col("top.new")))).alias("bound"))
+    agrees = F.forall("pairs", lambda p: (p["slots"] == p["item_slots"]) | F.coalesce(F.try_element_at("bound", p["item_slots"]) == p["slots"], F.lit(False)))
+    counted = met.join(bound, placement, "left").where(agrees).withColumn("changed", F.exists("pairs", lambda p: p["slots"] != p["item_slots"]))
     # consecutive windows of one placement that make up a run of words
     need = max(1, run - words + 1)
     at = counted.where(F.col("n") == words).groupBy("doc_id", *placement).agg(F.array_sort(F.collect_set("item_pos")).alias("at"))

@@ -268,6 +268,14 @@ def test_passages_of_long_items(spark):
     assert got == {1, 2}
 
 
+def test_one_odd_slot(spark):
+    item = "first 12 pears go to the market then 12 pears go to the farm and then 12 pears go to the mill"
+    two = "we have 5 apples in the big basket on the table and we also have 5 dollars in the small box under the bed"
+    docs = docs_of(spark, [(1, item.replace("12", "13", 1)), (2, two.replace("5 apples", "7 apples").replace("5 dollars", "3 dollars"))])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(8, item), (9, two)], "item_id long, text string")).collect()}
+    assert got == {(1, 8), (2, 9)}
+
+
 def test_leak_edges(spark, edges, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, ITEM), (None, "no id here at all")], "item_id long, text string")
     got = decontaminate.find_leaks(edges, items).collect()
