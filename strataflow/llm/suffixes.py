@@ -5,16 +5,20 @@ the same one. Only strings that may repeat are sorted. Each string of WIDTH byte
 it whose hash is least (the first of these), which depends on the string alone; so strings that are equal have equal
 anchors, and an anchor that occurs once rules out a repeat of all strings that it is the anchor of. The others' strings
 go, grouped by anchor, to tasks that sort them: those suffixes that are smaller than their successors are sorted
-directly, the rest are induced by scanning the buckets of first bytes in order, and adjacent common prefixes of
-WIDTH bytes tell which strings are equal. The first of equals stays.
+directly, the rest are induced by scanning the buckets of first bytes in order, and the lengths of adjacent common
+prefixes tell which strings are equal. The first of equals stays.
 
-Runs of text that a task holds twice are sent once. Anchors with more than HOT places are dealt out by string instead of
-by anchor, so that no task gets all places of a frequent one. Text is shuffled once; both joins read that shuffle.
+Runs of text that a task holds twice are sent once, and what is known to repeat by then goes as runs of strings. The
+strings of an anchor with more than HOT places are grouped by more than the anchor: those in which it lies at one of
+STEP neighbouring offsets share a core of WIDTH - STEP + 1 bytes, and are grouped by that. Equal strings have their
+anchor at the same offset, so they share a core; and a group's strings differ in STEP - 1 bytes at most, so its distinct
+ones stay few however often the anchor occurs. All groups are sorted alike. Text is shuffled once; both joins read that
+shuffle.
 
 Cases: null text is empty. Texts under WIDTH bytes lose nothing. A text equal to one of smaller id loses all its bytes
 (if it has WIDTH). Rows with equal doc_id and text are one document and have equal results; different texts of one
-doc_id count as documents in the order of a hash. A null doc_id comes before all others. An empty table gives an empty
-result; other columns are not carried.
+doc_id count as documents in the order of a hash. A null doc_id comes before all others; a doc_id that is no integer is
+refused. An empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -29,14 +33,18 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataflow.llm.arrowtext import mix, release, slices, utf8
 from strataflow.session import materialise, read_table, ship_package
 
-#: Bytes of a repeat, bytes of an anchor, places from which an anchor's strings are dealt out one by one.
-WIDTH, GRAM, HOT = 100, 24, 2_000
-#: Bytes sorted at a time, about; raw bytes of contexts that a task gathers before it sends them.
-CHUNK, GATHER = 1_000_000, 12_000_000
+#: Bytes of a repeat, bytes of an anchor, places from which an anchor's strings are grouped by cores, offsets of a core.
+WIDTH, GRAM, HOT, STEP = 100, 24, 2_000, 4
+#: Bytes sorted at a time, about; raw bytes of contexts that a task gathers before it sends them; raw bytes of contexts
+#: that a sorting task gets, about, and of one context on average.
+CHUNK, GATHER, PART, CONTEXT = 1_000_000, 12_000_000, 256_000_000, 140
+#: The place of a null doc_id.
+FIRST = -(2**63)
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -58,11 +66,11 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
-def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, the first string that it is the anchor of, and how many there are."""
+def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, the first string that it is the anchor of, how many there are, and the anchor's place."""
     n = len(data) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     h = grams(data, gram)
     low = np.uint64(0xFFFFFFFF)
     best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -74,7 +82,7 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
         best = np.minimum(best[: n], best[need - span : need - span + n])
     owner = (best & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    return h[owner[first]], first, np.diff(np.append(first, n))
+    return h[owner[first]], first, np.diff(np.append(first, n)), owner[first]
 
 
 def two_stage_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -127,6 +135,17 @@ def two_stage_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, widt
     return place[np.concatenate(out)]
 
 
+def common_prefixes(text: np.ndarray, places: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Length, width at most, of the common prefix of each place's string and the one before it; 0 for the first."""
+    view, out = sliding_window_view(text, width), np.zeros(len(places), np.int64)
+    for a in range(1, len(places), 65_536):
+        b = min(len(places), a + 65_536)
+        other = view[places[a - 1 : b - 1]] != view[places[a:b]]
+        at = other.argmax(axis=1)
+        out[a:b] = np.where(other[np.arange(b - a), at], at, width)
+    return out
+
+
 def repeats(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Whether each start's string equals that of a start of lesser rank."""
     if not len(starts):
@@ -135,13 +154,7 @@ def repeats(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.nda
     of[starts] = np.arange(len(starts))
     order = of[two_stage_order(text, starts, ends, width)]
     order = order[order >= 0]
-    # adjacent common prefixes of the whole width
-    view = sliding_window_view(text, width)
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 65_536):
-        b = min(len(order), a + 65_536)
-        same[a:b] = (view[starts[order[a - 1 : b - 1]]] == view[starts[order[a:b]]]).all(axis=1)
-    heads = np.flatnonzero(~same)
+    heads = np.flatnonzero(common_prefixes(text, starts[order], width) < width)
     least = np.repeat(np.minimum.reduceat(rank[order], heads), np.diff(np.append(heads, len(order))))
     out = np.zeros(len(starts), bool)
     out[order] = rank[order] > least
@@ -149,24 +162,39 @@ def repeats(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.nda
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc and key, which together tell rows apart by 128 bits, with doc_id and text."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.xxhash64("doc_id", text).alias("key"), "doc_id", text.alias("text"))
 
 
 def _anchor_rows(keyed: DataFrame) -> DataFrame:
-    """hash, key, at (first string * 128 + number of strings - 1) of every anchor."""
+    """hash, doc, key, at (first string << 14 | number of strings - 1 << 7 | the anchor's place in it) of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            docs, keys = (batch.column(c).to_numpy() for c in ("doc", "key"))
             for a, b in slices(batch.column("text")):
                 data, offs = utf8(batch.column("text").slice(a, b - a))
                 found = [anchors(data[i:j]) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 n = [len(x[0]) for x in found]
-                h, first, count = (np.concatenate([x[c] for x in found]) for c in range(3))
-                yield pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "key": np.repeat(keys[a:b], n), "at": first * 128 + count - 1})
+                h, first, count, place = (np.concatenate([x[c] for x in found]) for c in range(4))
+                yield pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "doc": np.repeat(docs[a:b], n), "key": np.repeat(keys[a:b], n), "at": first << 14 | count - 1 << 7 | place - first})
+
+    return keyed.select("doc", "key", "text").mapInArrow(run, "hash long, doc long, key long, at long")
 
-    return keyed.select("key", "text").mapInArrow(run, "hash long, key long, at long")
+
+def pieces(data: bytes, first: int, count: int, place: int) -> Iterator[tuple[int, int, bytes]]:
+    """Route, first string and body of the strings first, first + 1, ... with one anchor, by the core that they share."""
+    string = first
+    while string < first + count:
+        nth = (place - string) // STEP
+        last = min(first + count - 1, place - nth * STEP)
+        core = data[place - nth * STEP : place - nth * STEP + WIDTH - STEP + 1]
+        yield xxhash.xxh64_intdigest(core, nth) - 2**63, string, data[string : last + WIDTH]
+        string = last + 1
 
 
 class _Parcels:
@@ -179,12 +207,12 @@ class _Parcels:
     def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.rows: list[tuple[int, int, int, int]] = []  # route, doc, key, first
-        self.known: list[tuple[int, int]] = []  # key, at
+        self.known: list[tuple[int, int, int, int]] = []  # doc, key, first, count
         self.size = 0
 
     def add(self, route: int, doc: int, key: int, first: int, body: bytes) -> None:
         """A context whose strings all start from `first` on; one that was here before goes only in the earlier place."""
-        here, count = (doc, key, first), len(body) - WIDTH + 1
+        here = (doc, key, first)
         i = self.seen.get(body)
         if i is None:
             self.seen[body] = len(self.rows)
@@ -194,9 +222,8 @@ class _Parcels:
         other = self.rows[i][1:]
         if here < other:
             self.rows[i] = (self.rows[i][0], *here)
-        late = max(here, other)
         if here != other:
-            self.known.append((late[1], late[2] * 128 + count - 1))
+            self.known.append((*max(here, other), len(body) - WIDTH + 1))
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.rows or self.known:
@@ -212,20 +239,37 @@ class _Parcels:
                 routes.append(int(to[at[0]]))
                 out.append(press.compress(pickle.dumps(([rows[at, c] for c in range(4)], [len(bodies[i]) for i in at.tolist()], b"".join([bodies[i] for i in at.tolist()])))))
             if self.known:
-                routes.append(self.known[0][0] % self.parts)
-                out.append(press.compress(pickle.dumps(np.array(self.known, np.int64))))
+                runs = _runs(np.array(self.known, np.int64))
+                routes.append(int(runs[0, 1] % self.parts))
+                out.append(press.compress(pickle.dumps(runs)))
             yield pa.RecordBatch.from_pydict({"route": pa.array(routes, pa.int32()), "body": pa.array(out, pa.binary())})
         self.clear()
 
 
+def _runs(found: np.ndarray) -> np.ndarray:
+    """doc, key, first string and number of strings, with what adjoins or overlaps made one."""
+    if not len(found):
+        return found.reshape(-1, 4)
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    doc = np.cumsum(np.concatenate(([0], (np.diff(found[:, :2], axis=0) != 0).any(axis=1))))
+    end = found[:, 2] + found[:, 3]
+    # ends so far, by document: documents are set apart by more than any text is long
+    apart = doc * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + apart)
+    heads = np.flatnonzero(np.concatenate(([True], (found[1:, 2] + apart[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))))
+    tails = np.append(heads[1:], len(found)) - 1
+    out = found[heads].copy()
+    out[:, 3] = reach[tails] - apart[tails] - out[:, 2]
+    return out
+
+
 def _contexts(parts: int) -> Callable:
-    """From (key, doc_id, text, notes) to parcels; notes: anchors, and a place of -1 in the first of equal texts."""
+    """From (doc, key, text, notes) to parcels; notes: anchors, and a place of -1 in the first of equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parcels = _Parcels(parts)
         for batch in batches:
-            docs = batch.column("doc_id").fill_null(-(2**63)).to_pylist()
-            for key, doc, text, notes in zip(batch.column("key").to_pylist(), docs, batch.column("text"), batch.column("notes"), strict=True):
+            for doc, key, text, notes in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), batch.column("notes"), strict=True):
                 fields = [np.array(notes.values.field(c)) for c in ("at", "hash", "hot")]
                 if not (fields[0] < 0).any():
                     continue
@@ -233,14 +277,13 @@ def _contexts(parts: int) -> Callable:
                 for at, h, hot in zip(*(x.tolist() for x in fields), strict=True):
                     if at < 0:
                         continue
-                    i, n = at >> 7, (at & 127) + 1
+                    first, count = at >> 14, (at >> 7 & 127) + 1
                     if not hot:
-                        parcels.add(h, doc, key, i, data[i : i + n + WIDTH - 1])
+                        parcels.add(h, doc, key, first, data[first : first + count + WIDTH - 1])
                         continue
-                    for j in range(i, i + n):
-                        string = data[j : j + WIDTH]
-                        parcels.add(xxhash.xxh64_intdigest(string) - 2**63, doc, key, j, string)
-                if parcels.size >= GATHER:
+                    for route, string, body in pieces(data, first, count, first + (at & 127)):
+                        parcels.add(route, doc, key, string, body)
+                if parcels.size >= GATHER or len(parcels.known) >= GATHER // 32:
                     yield from parcels.send()
         yield from parcels.send()
         release()
@@ -249,14 +292,14 @@ def _contexts(parts: int) -> Callable:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a task's parcels to key and at (first string * 128 + number - 1) of strings that repeat an earlier one."""
+    """From a task's parcels to doc, key, first and count of runs of strings that repeat an earlier one."""
     seen: dict[bytes, tuple[int, int, int, int]] = {}
-    late: list[tuple[int, int]] = []
+    late: list[tuple[int, int, int, int]] = []
     for batch in batches:
         for parcel in batch.column("body"):
             got = pickle.loads(zstandard.ZstdDecompressor().decompress(parcel.as_py()))
             if isinstance(got, np.ndarray):
-                yield _verdicts(got[:, 0], got[:, 1])
+                yield _verdicts(got)
                 continue
             rows, sizes, joined = got
             end = 0
@@ -266,11 +309,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if other is None or here < other:
                     seen[body] = here
                 if other is not None and here != other:
-                    _, k, i, _ = max(here, other)
-                    late.append((k, i * 128 + size - WIDTH))
+                    late.append((*max(here, other)[:3], size - WIDTH + 1))
     if late:
-        got = np.array(late, np.int64)
-        yield _verdicts(got[:, 0], got[:, 1])
+        yield _verdicts(_runs(np.array(late, np.int64)))
+    del late
     bodies = list(seen)
     rows = np.array(list(seen.values()), np.int64).reshape(-1, 4)
     order = np.argsort(rows[:, 3], kind="stable")
@@ -280,7 +322,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held = 0
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True) if len(routes) else ():
         if b - a < 2:
-            continue  # no other text there
+            continue  # no two strings of one body are equal: they have their one anchor at different offsets
         group = order[a:b].tolist()
         chunk += group
         held += sum(len(bodies[i]) for i in group)
@@ -304,12 +346,8 @@ def _chunk_verdicts(chunk: list[int], bodies: list[bytes], rows: np.ndarray) ->
     place = np.array(chunk)
     dup = repeats(text, starts, ends, _rank(rows[place[nth], 0], rows[place[nth], 1], rows[place[nth], 2] + within))
     hit = np.flatnonzero(dup)
-    if not len(hit):
-        return _verdicts(hit, hit)
-    new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(nth[hit]) != 0)))
-    first = hit[new]
-    count = np.diff(np.append(np.flatnonzero(new), len(hit)))
-    return _verdicts(rows[place[nth[first]], 1], (rows[place[nth[first]], 2] + within[first]) * 128 + count - 1)
+    at = place[nth[hit]]
+    return _verdicts(_runs(np.stack((rows[at, 0], rows[at, 1], rows[at, 2] + within[hit], np.ones(len(hit), np.int64)), axis=1)))
 
 
 def _rank(*fields: np.ndarray) -> np.ndarray:
@@ -323,8 +361,8 @@ def _rank(*fields: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verdicts(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "at": pa.array(at, pa.int64())})
+def _verdicts(runs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(runs[:, i])) for i, c in enumerate(("doc", "key", "at", "n"))})
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,20 +378,20 @@ def _stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
     for text, notes in zip(batch.column("text"), batch.column("notes"), strict=True):
         raw = text.as_buffer()
         n = len(raw)
-        at = np.array(notes.values) if notes.is_valid else np.zeros(0, np.int64)
+        at, count = (np.array(notes.values.field(c)) if notes.is_valid else np.zeros(0, np.int64) for c in ("at", "n"))
         if not (at < 0).any():  # equal to an earlier text
             gone = n >= WIDTH
             kept.append(b"" if gone else raw.to_pybytes())
             counts.append((n, n if gone else 0, int(gone)))
             continue
-        at = at[at >= 0]
+        at, count = at[at >= 0], count[at >= 0]
         if not len(at):
             kept.append(raw.to_pybytes())
             counts.append((n, 0, 0))
             continue
         cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, at >> 7, 1)
-        np.add.at(cover, (at >> 7) + (at & 127) + WIDTH, -1)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + count + WIDTH - 1, -1)
         drop = np.cumsum(cover[:-1]) > 0
         kept.append(np.frombuffer(raw, np.uint8)[~drop].tobytes())
         counts.append((n, int(drop.sum()), int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())))
@@ -366,20 +404,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     keyed = _keyed(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    same = ["doc", "key"]
     rows = _anchor_rows(keyed)
     # written, so that both sides of the join below are plain exchanges, of which Spark splits a frequent anchor's part
-    often = materialise(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot")), "suffix-often")
-    least = F.coalesce("doc_id", F.lit(-(2**63)))
-    firsts = keyed.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("_sha")).agg(F.min(F.struct(least.alias("doc"), "key")).alias("_first")).select(F.col("_first.key").alias("key"))
+    often = materialise(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "suffix-often")
+    places = often.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places * CONTEXT // PART))
+    firsts = keyed.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("_sha")).agg(F.min(F.struct(*same)).alias("_first")).select("_first.*")
     firsts = materialise(firsts, "suffix-firsts")
-    note = firsts.select("key", F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("hot")).alias("note"))
-    suspects = rows.join(often, "hash").select("key", F.struct("at", "hash", "hot").alias("note")).unionByName(note)
-    noted = suspects.groupBy("key").agg(F.collect_list("note").alias("notes")).where(F.size("notes") > 1)
-    parcels = keyed.join(noted, "key").select("key", "doc_id", "text", "notes").mapInArrow(_contexts(parts), "route int, body binary")
-    found = parcels.repartitionById(parts, F.col("route")).mapInArrow(_sorted_groups, "key long, at long")
-    spans = found.unionByName(firsts.select("key", F.lit(-1).cast("long").alias("at"))).groupBy("key").agg(F.collect_list("at").alias("notes"))
-    whole = keyed.join(spans, "key", "left").select("doc_id", "text", "notes")
+    note = firsts.select(*same, F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("hot")).alias("note"))
+    suspects = rows.join(often.select("hash", (F.col("n") > HOT).alias("hot")), "hash").select(*same, F.struct("at", "hash", "hot").alias("note")).unionByName(note)
+    noted = suspects.groupBy(*same).agg(F.collect_list("note").alias("notes")).where(F.size("notes") > 1)
+    # doc_id only so that the exchange of texts is the one that `whole` needs
+    parcels = keyed.join(noted, same).select(*same, "doc_id", "text", "notes").mapInArrow(_contexts(parts), "route int, body binary")
+    found = parcels.repartitionById(parts, F.col("route")).mapInArrow(_sorted_groups, "doc long, key long, at long, n long")
+    first = firsts.select(*same, F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    spans = found.unionByName(first).groupBy(*same).agg(F.collect_list(F.struct("at", "n")).alias("notes"))
+    whole = keyed.join(spans, same, "left").select("doc_id", "text", "notes")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return whole.mapInArrow(_strip, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 

@@ -446,7 +446,7 @@ def kept_bytes(rows, width=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 20])
+@pytest.mark.parametrize("hot", [2000, 20, 0])
 def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     rng = np.random.default_rng(7)
@@ -458,6 +458,66 @@ def test_repeats(spark, monkeypatch, hot):
     assert got == kept_bytes(rows)
 
 
+@pytest.mark.parametrize("hot", [2000, 20])
+def test_near_copies_make_runs(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = np.random.default_rng(11)
+    base = "".join(map(chr, rng.integers(97, 123, 1500)))
+    rows = []
+    for i in range(150):
+        at = int(rng.integers(0, 1400))
+        rows.append((i, base[:at] + "".join(map(chr, rng.integers(65, 91, 12))) + base[at + 7 :]))
+    docs, made = docs_of(spark, rows), []
+    real = suffixes._verdicts
+    monkeypatch.setattr(suffixes, "_verdicts", lambda runs: made.append(len(runs)) or real(runs))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == kept_bytes(rows)
+    # the same groups in this process: far fewer rows than strings
+    parcels = suffixes._Parcels(1)
+    for i, text in rows:
+        data = text.encode()
+        for _, first, count, place in zip(*(x.tolist() for x in suffixes.anchors(np.frombuffer(data, np.uint8)))):
+            for route, string, body in suffixes.pieces(data, first, count, place):
+                parcels.add(route, i, i, string, body)
+    made.clear()
+    removed = sum(b.num_rows and sum(b.column("n").to_pylist()) for b in suffixes._sorted_groups(parcels.send()))
+    assert sum(made) < 15 * len(rows) and removed > 100 * sum(made)
+
+
+def test_pieces_cover():
+    rng = np.random.default_rng(12)
+    data = rng.integers(97, 99, 2000).astype(np.uint8)
+    raw, routes = data.tobytes(), {}
+    for _, first, count, place in zip(*(x.tolist() for x in suffixes.anchors(data))):
+        at = first
+        for route, string, body in suffixes.pieces(raw, first, count, place):
+            assert string == at
+            for k in range(len(body) - suffixes.WIDTH + 1):
+                assert body[k : k + 100] == raw[at : at + 100] and routes.setdefault(raw[at : at + 100], route) == route
+                at += 1
+        assert at == first + count
+
+
+def test_runs():
+    rng = np.random.default_rng(13)
+    found = np.stack([rng.integers(0, 3, 200), rng.integers(0, 2, 200), rng.integers(0, 300, 200), rng.integers(1, 9, 200)], axis=1)
+    cover = lambda x: {(d, k, i) for d, k, a, n in x.tolist() for i in range(a, a + n)}
+    runs = suffixes._runs(found)
+    assert cover(runs) == cover(found) and len(runs) < len(found)
+    assert all((d, k, a + n) not in cover(found) for d, k, a, n in runs.tolist())
+    assert suffixes._runs(found[:0]).shape == (0, 4)
+
+
+def test_common_prefixes():
+    text = np.frombuffer(b"abcabdabcabcxx", np.uint8)
+    assert suffixes.common_prefixes(text, np.array([0, 6, 9, 3]), 5).tolist() == [0, 5, 3, 2]
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        suffixes.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_two_stage_sort():
     rng = np.random.default_rng(8)
     for trial in range(150):
