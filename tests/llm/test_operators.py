@@ -205,6 +205,55 @@ def test_contexts_until_nothing_is_learned(spark):
     assert got == {f"x{p}-{i}": "email" for p in range(6) for i in range(5)}
 
 
+def test_plain_instances_in_trusted_contexts(spark):
+    known = [(i, f"please write to user{i}@mail.example.org today") for i in range(12)]
+    hidden = [(100, "é please write to jane(at)mail today"), (101, "please write to john dot doe today"), (102, "call 555 123 4567 now"), (103, "please write to john.doe, today")]
+    known += [(200 + i, f"call +1 555 123 45{i:02} now") for i in range(12)]
+    common = [(300 + i, f"the office is at u{i}@x.org daily") for i in range(6)] + [(400 + i, "the office is at " + "".join(chr(97 + i // 26) * 3 + chr(97 + i % 26)) + " daily") for i in range(60)]
+    rows = known + hidden + common
+    got = {r.doc_id: r.added for r in pii.find(docs_of(spark, rows)).collect()}
+    texts = dict(rows)
+    spans = {i: [texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in a.split(",")] for i, a in got.items() if a}
+    assert spans == {100: ["jane(at)mail"], 101: ["john dot doe"], 102: ["555 123 4567"], 103: ["john.doe"]}
+
+
+def test_long_texts_in_linear_time():
+    import time
+
+    text = "x1234y a@b.co, 10.0.0.1 or +1 555 123 4567, 4111111111111111 and " * 80_000  # 5 MB
+    column, began = pa.array([text]), time.perf_counter()
+    spans = pii.base_spans(text)
+    (own,) = pii._texts(column)
+    taken = [(i, j) for _, i, j in spans]
+    rest = list(pii._beside(pii.candidates(text), taken))
+    assert len(own.contexts(taken + rest)) == len(taken) + len(rest) and len(spans) == 320_000
+    assert time.perf_counter() - began < 30
+
+
+def test_spans_beside():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = lambda n: [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(n))]
+        taken, found = spans(6), spans(6)
+        assert list(pii._beside(found, taken)) == [(i, j) for i, j in found if not any(p < j and i < q for p, q in taken)]
+
+
+def test_runs_of_tokens():
+    rng = random.Random(10)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", ".", "é", "(", ") "]) for _ in range(rng.randint(0, 14)))
+        (own,) = pii._texts(pa.array([text]))
+        words = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+        held = [[i for i, w in enumerate(words) if m.start() <= w[0] < m.end()] for m in re.finditer(r"[^\s]+", text)]
+        tokens = [m.span() for m in re.finditer(r"[^\s]+", text)]
+        for k in range(1, 4):
+            want = []
+            for t in range(len(tokens) - k + 1):
+                if all(held[t : t + k]) and all(text[tokens[x][1] : tokens[x + 1][0]] == " " for x in range(t, t + k - 1)):
+                    want.append((held[t][0], held[t + k - 1][-1]))
+            assert list(zip(*(x.tolist() for x in pii._runs_of_tokens(own, k)))) == want, (text, k)
+
+
 def test_pii_edges(spark, edges, empty, rows):
     got = pii.find(edges).collect()
     assert len(got) == len(rows) and all(r.base == "" and r.added == "" for r in got)
