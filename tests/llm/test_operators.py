@@ -401,6 +401,53 @@ def test_top_k_is_gumbel():
     assert abs((pairs[:, 1] > pairs[:, 0]).mean() - 0.75) < 0.01
 
 
+def test_resampling_by_brute_force(spark):
+    """Weights from counts of grams kept in a dictionary, and the sample by sorting."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words[:25] if i % 2 else words[15:], k=rng.randint(0, 30)))) for i in range(400)]
+    rows += [(i, rows[i][1]) for i in range(5)] + [(None, "w1 w2"), (900, None), (901, "")]
+    docs, good, buckets = docs_of(spark, rows), list(range(1, 200, 2)), 1 << 20
+
+    def grams(text):
+        ws = (text or "").split()
+        return ws + list(zip(ws, ws[1:]))
+
+    raw, target = {}, {}
+    for i, text in rows:
+        for g in grams(text):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i in set(good))
+    share = sum(target.values()) / sum(raw.values())
+    weight = [sum(math.log((target[g] + importance.PRIOR) / (raw[g] * share + importance.PRIOR)) for g in grams(text)) for _, text in rows]
+    scored = importance.score(docs, importance.fit(docs, good, buckets), effective=None).collect()
+    assert sorted((str(r.doc_id), round(r.log_weight, 6)) for r in scored) == sorted((str(i), round(w, 6) + 0.0) for (i, _), w in zip(rows, weight))
+    one = {g: n - grams(rows[7][1]).count(g) for g, n in target.items()}  # without a text of its own
+    own = importance.score(docs.where("doc_id = 7").withColumn("_own", F.lit(True)), importance.fit(docs, good, buckets), effective=None).first()
+    halved = importance.score(docs, importance.fit(docs, good, buckets), effective=10).collect()
+    sizes = [len(grams(x)) for _, x in rows]
+    assert sorted((str(r.doc_id), round(r.log_weight, 6)) for r in halved) == sorted((str(i), round(w * min(1, 10 / max(1, n)), 6) + 0.0) for (i, _), w, n in zip(rows, weight, sizes))
+    share = sum(one.values()) / sum(raw.values())
+    assert abs(own.log_weight - sum(math.log((one[g] + importance.PRIOR) / (raw[g] * share + importance.PRIOR)) for g in grams(rows[7][1]))) < 1e-6
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    assert importance.labelled_ids(labels)[0] != good and sorted(importance.labelled_ids(labels)[0]) == good
+    all_keys = sorted((r.gumbel_key for r in importance.resample(docs, labels, k=10**6, buckets=buckets).collect()), reverse=True)
+    assert len(all_keys) == len(rows)
+    for k in (0, 1, 7, 200, 407):
+        kept = sorted((r.gumbel_key for r in importance.resample(docs, labels, k=k, buckets=buckets).collect()), reverse=True)
+        assert kept[:k] == all_keys[:k] and (not k or set(kept[k:]) <= {all_keys[k - 1]})
+
+
+def test_kth_largest(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice([-(2**63), 2**63 - 1, -1, 0, 1, rng.randint(-(2**63), 2**63 - 1), rng.randint(0, 70000)]), rng.randint(-2, 2)) for _ in range(300)]
+    table = spark.createDataFrame(rows, "a long, b long")
+    for k in (1, 2, 150, 299, 300, 301):
+        assert importance.kth_largest(table, ["a", "b"], k) == (sorted(rows, reverse=True)[k - 1] if k <= 300 else None)
+    x = np.array([0.0, -0.0, 1.5, -1.5, 1e300, -1e300, 5e-324])
+    assert (np.argsort(importance.ordered(x), kind="stable") == np.argsort(x, kind="stable")).all()
+
+
 def test_cut():
     assert 2 < importance.cut_between(np.array([5.0, 3.0]), np.array([2.0, 1.0])) < 3
     assert importance.cut_between(np.array([]), np.array([1.0])) == -np.inf
