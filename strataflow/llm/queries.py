@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import secrets, suffixes
+from strataflow.llm import ann, secrets, suffixes
 from strataflow.llm.ann import op8_one_bit_codes
 from strataflow.llm.bpe import op10_bpe
 from strataflow.llm.decontaminate import op5_template_decontamination
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {"op3_secret_ledger": secrets.ORACLE_SQL, "op9_suffix_dedup": suffixes.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_secret_ledger": secrets.ORACLE_SQL, "op8_one_bit_codes": ann.ORACLE_SQL, "op9_suffix_dedup": suffixes.ORACLE_SQL}

@@ -559,7 +559,7 @@ def test_neighbours(spark, monkeypatch):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hits = total = 0
     for q in range(0, 400, 50):
-        c = ann.cosines(v[q].astype(float), v.astype(float))
+        c = ann.cosines(v[[q] * 400].astype(float), v.astype(float))
         order = [int(i) for i in np.lexsort((np.arange(400), -c)) if i != q][:5]
         hits += len(set(order) & {i for i, _ in by[q]})
         total += 5
@@ -571,6 +571,39 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(ann.index(clean.limit(0)), clean.limit(0)).count() == 0
 
 
+def test_all_queries_by_brute_force(spark):
+    rows = ann.clean(read_table(spark, "/root/testdata/sf0.1", "embeddings"))
+    first, more = ann.reranked(ann.index(rows), rows.where("vec_id % 50 = 0"))
+    got, share = ann.ranked(first, more).collect(), (first.count() + more.count()) / (40 * 2000)
+    all_of = rows.orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in all_of]), np.array([r.v for r in all_of])
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        c = ann.cosines(v[[i] * len(v)], v)
+        want |= {(int(ids[i]), int(ids[j])) for j in [j for j in np.lexsort((ids, -c)) if j != i][:5]}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(want) and share < 0.1
+
+
+def test_estimates_hold(spark):
+    rng = np.random.default_rng(16)
+    for n in (3, 24, 64, 700):
+        v = rng.normal(size=(500, n))
+        bits, scale = ann.encode(v)
+        assert bits.shape == (500, ann.wide(n) // 8)
+        estimate, off = ann.estimates(v[:20], bits, scale)
+        true = ann.unit(v[:20]) @ ann.unit(v).T
+        assert (np.abs(estimate - true) <= off).mean() > 0.99 and off.mean() < 0.12
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [5e-324, 0.0]), (50, [1e308, 1e308]), (1, [1e-320, 1e-320]), (2, [0.0, -1e308])]
+    table = ann.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(ann.index(table), table.where("vec_id % 50 = 0")).collect()}
+    half = math.sqrt(0.5)
+    want = {(0, 50): half, (0, 1): half, (0, 2): 0.0, (50, 0): half, (50, 1): 1.0, (50, 2): -half}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 # ---- 9 ----
 
 

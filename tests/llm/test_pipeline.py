@@ -64,7 +64,8 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         columns = sorted(df.columns)
