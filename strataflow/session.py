@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,23 +33,58 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A local one stands in on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_strataflow_root", None) or tempfile.mkdtemp(prefix="strataflow-shared-")
         spark.sparkContext._strataflow_root = root
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own part of the shared folder, which goes when Python ends."""
+    sc = spark.sparkContext
+    own = f"{shared_root(spark)}/strataflow/{sc.applicationId}"
+    if getattr(sc, "_strataflow_own", None) != own:
+        sc._strataflow_own = own
+        atexit.register(_drop, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone; what is left is only room taken
+        pass
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote in the shared folder; DataFrames that read them end with that."""
+    own = getattr(spark.sparkContext, "_strataflow_own", None)
+    if own:
+        _drop(spark, own)
+
+
+def partitions_for(df: DataFrame, size: int) -> int:
+    """spark.sql.shuffle.partitions, or more where df's files, by Catalyst's statistics, hold more than size bytes for each."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, -(-told // size)) if told < 1 << 60 else own  # without statistics Catalyst takes the largest size
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df, if its rows come in the same order each time; else written and read again. A shuffle's may come in any order."""
+    return materialise(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_root(df.sparkSession))
+        sc.setCheckpointDir(shared_path(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
