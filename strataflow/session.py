@@ -70,9 +70,9 @@ def drop_tables(spark: SparkSession) -> None:
 
 def partitions_for(df: DataFrame, size: int) -> int:
     """spark.sql.shuffle.partitions, or more where df's files, by Catalyst's statistics, hold more than size bytes for each."""
-    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, -(-told // size)) if told < 1 << 60 else own  # without statistics Catalyst takes the largest size
+    return max(own, -(-told // size)) if told < 1 << 50 else own  # without statistics Catalyst takes the largest long, or a share of it
 
 
 def steady(df: DataFrame, name: str) -> DataFrame:
