@@ -2,7 +2,13 @@
 
 Texts are split into words as the tokenizer's own splitter does. Blocks of documents list their distinct words; that
 table, dealt out by word, lets the tokenizer see each distinct word once, however often it occurs. The ids go back to
-the blocks, where they replace the words at their positions. Decoding looks up each id's piece.
+the blocks, where they replace the words at their positions. Decoding joins ids, by a hash table of the vocabulary's ids,
+with the table of their pieces, which is as large as the vocabulary and so goes to every task; the pieces stay in order.
+
+A block's words and its texts are found in two passes, as word numbers in place of texts would have to be written and
+shuffled, 1.9 times the input in all; both passes must see the same blocks, so an input whose rows may come in another
+order, from a shuffle, is written first. Tasks that encode words hold those of one part of the distinct words; parts
+grow in number with the input's files, PART bytes of them for each.
 
 Only compressed texts and distinct words are shuffled, never occurrences, so a word that fills a third of the corpus
 weighs one row for each block.
@@ -23,6 +29,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.llm.arrowtext import release, slices
-from strataflow.session import read_table, ship_package
+from strataflow.session import partitions_for, read_table, ship_package, steady
 
 #: The splitter's white space (Unicode White_Space), its pattern, and the same in `re` for settled
 #: characters, those whose class has been the same in all Unicode versions of the last decade. Other texts take the
@@ -41,7 +48,7 @@ PATTERN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_{COUNTERS}]+| ?[\d{COUNTERS}]+| ?(?:(?![{COUNTERS}])[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 UNSETTLED = r"[^\x00-\u052f\u2010-\u2027\u20ac\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES, PART = 16_000_000, 64_000_000
 
 split_settled, unsettled = re.compile(PATTERN).findall, re.compile(UNSETTLED).search
 
@@ -81,8 +88,8 @@ class _Bpe:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     @cached_property
-    def pieces(self) -> list[bytes]:
-        """The bytes of each id."""
+    def pieces(self) -> pa.Table:
+        """id and piece, its bytes."""
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         back = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -90,7 +97,7 @@ class _Bpe:
         for i in range(self.size):
             token = self.tokenizer.id_to_token(i) or ""
             out.append(bytes(back[c] for c in token) if all(c in back for c in token) else token.encode())
-        return out
+        return pa.table({"id": pa.array(range(self.size), pa.uint32()), "piece": pa.array(out, pa.large_binary())})
 
 
 @lru_cache(2)
@@ -208,8 +215,52 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([_number(ids, texts)], pa.int64()), "body": pa.array([body], pa.binary())})
 
 
-def code_blocks(path: str, decode: bool) -> Callable:
-    """Puts ids at the words' places; decodes them by their pieces."""
+def joined_pieces(ids: np.ndarray, offs: np.ndarray, pieces: pa.Table) -> list[str]:
+    """The text of the ids between each two offsets: ids joined with the table of pieces, in their order."""
+    at = pc.index_in(pa.array(ids, pa.uint32()), value_set=pieces.column("id").combine_chunks())
+    found = pieces.column("piece").combine_chunks().take(at)
+    if found.null_count:
+        raise ValueError("an id that the vocabulary doesn't have")
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)[offs].tolist()
+    data = found.buffers()[2]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """coded with a column decoded, the text of ids (little-endian unsigned 32-bit integers; null: null)."""
+    ship_package(coded.sparkSession)
+    path = path or default_path()
+    coded = coded.drop("decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = bpe(path).pieces
+        for batch in batches:
+            sizes = np.array(pc.binary_length(batch.column("ids")).fill_null(0), np.int64)
+            for a, b in _groups(sizes, BLOCK_BYTES // 2):
+                part = batch.slice(a, b - a)
+                flat = np.frombuffer(b"".join(x for x in part.column("ids").to_pylist() if x), "<u4")
+                texts = joined_pieces(flat, np.concatenate(([0], np.cumsum(sizes[a:b]) // 4)), pieces)
+                column = pa.array(texts, pa.string())
+                if part.column("ids").null_count:
+                    column = pc.if_else(part.column("ids").is_valid(), column, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "decoded"])
+        release()
+
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def _groups(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes."""
+    a, ends = 0, np.cumsum(sizes)
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
+def code_blocks(path: str) -> Callable:
+    """Puts ids at the words' places."""
 
     def run(packed: pa.Table, words: pa.Table) -> pa.Table:
         coder = bpe(path)
@@ -220,8 +271,7 @@ def code_blocks(path: str, decode: bool) -> Callable:
         for nth, n, ids in got:
             lens[nth], starts[nth] = n, base + np.cumsum(n) - n
             base += len(ids)
-        pieces = coder.pieces if decode else []
-        doc_ids, out, texts = [], [], []
+        doc_ids, out = [], []
         for blob in packed.column("body"):
             place: defaultdict[str, int] = defaultdict(count().__next__)  # numbers new words as block_words does
             with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_py())) as r:
@@ -229,30 +279,26 @@ def code_blocks(path: str, decode: bool) -> Callable:
             doc_ids.append(table.column("doc_id").combine_chunks())
             for text in table.column("text"):
                 at = np.fromiter(map(place.__getitem__, coder.split(text.as_py())), np.int64)
-                ids = _gather(flat, starts, lens, at)
-                out.append(ids.tobytes())
-                if decode:
-                    texts.append(b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace"))
-        columns = {"doc_id": pa.chunked_array(doc_ids), "ids": pa.array(out, pa.binary())}
-        columns |= {"decoded": pa.array(texts, pa.string())} if decode else {}
-        del got, flat, place, out, texts
+                out.append(_gather(flat, starts, lens, at).tobytes())
+        table = pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": pa.array(out, pa.binary())})
+        del got, flat, out
         release()
-        return pa.table(columns)
+        return table
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of each row; with decode, also the text made of them."""
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of each row."""
     ship_package(docs.sparkSession)
     path = path or default_path()
-    docs = docs.select("doc_id", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = steady(docs.select("doc_id", "text"), "bpe-input")
+    parts = partitions_for(docs, PART)
     words = docs.mapInArrow(block_words(path, parts), "part int, block long, body binary").repartitionById(parts, F.col("part"))
     coded = words.mapInArrow(encode_words(path), "block long, body binary")
     packed = docs.mapInArrow(_packed, "block long, body binary")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(code_blocks(path, decode), schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(code_blocks(path), schema)
 
 
 def digests(coded: DataFrame) -> DataFrame:
@@ -262,4 +308,4 @@ def digests(coded: DataFrame) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return digests(encode(read_table(spark, sf_dir, "documents"), path, decode=True))
+    return digests(decode(encode(read_table(spark, sf_dir, "documents"), path), path))

@@ -5,7 +5,9 @@ write in that script. Each of them scores the word by hashed character n-grams a
 over a text's words, with a penalty for each switch, labels spans. The language with the most letters is the text's.
 
 Long texts are cut into pieces of PIECE words, whose best paths are found for every language to begin in and then
-chained, so the labelling is that of one pass over the whole text.
+chained, so the labelling is that of one pass over the whole text. Where there are so many languages that this would
+take more than CELLS cells, texts are labelled in one pass each, word by word, side by side. There may be 32,767
+languages.
 
 Training takes at most PER_LANG texts of each language (by hash order), a documented bound; predictions cover all rows.
 
@@ -32,6 +34,7 @@ PER_LANG = 2_000
 BUCKETS = 1 << 15
 PENALTY = 12.0
 PIECE = 512
+CELLS = 1 << 26
 KINDS = 4  # character pairs, triples and quadruples, whole words
 
 #: Script ranges, as first and last code point.
@@ -122,7 +125,9 @@ def viterbi(s: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each row of s under a penalty for each change within a document; docs: n + 1 offsets."""
     n, k = s.shape
     if not n:
-        return np.zeros(0, np.int8)
+        return np.zeros(0, np.int16)
+    if n * k * k > CELLS:
+        return _one_pass(s, docs, penalty)
     sizes = np.diff(docs)
     pieces = -(-sizes // PIECE)
     doc = np.repeat(np.arange(len(sizes)), pieces)
@@ -140,13 +145,13 @@ def viterbi(s: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
         best = v[:m].argmax(axis=2)
         jump = np.take_along_axis(v[:m], best[:, :, None], 2) - penalty
         stay = v[:m] >= jump
-        back.append(np.where(stay, np.arange(k, dtype=np.int8), best[:, :, None].astype(np.int8)))
+        back.append(np.where(stay, np.arange(k, dtype=np.int16), best[:, :, None].astype(np.int16)))
         v[:m] = np.where(stay, v[:m], jump) + s[start[:m] + t][:, None, :]
     where = np.empty(len(order), np.int64)
     where[order] = np.arange(len(order))  # a piece's row in v
     begin = np.cumsum(pieces) - pieces
     full = np.flatnonzero(pieces)
-    value, came = np.zeros((len(sizes), k)), np.zeros((len(doc), k), np.int8)
+    value, came = np.zeros((len(sizes), k)), np.zeros((len(doc), k), np.int16)
     for i in range(int(pieces.max())):
         d = full[pieces[full] > i]
         total = value[d][:, :, None] + v[where[begin[d] + i]]
@@ -159,7 +164,7 @@ def viterbi(s: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
         end[begin[d] + i] = state[d]
         state[d] = came[begin[d] + i, state[d]]
     entered = came[np.arange(len(doc)), end][order].astype(np.int64)
-    now, out = end[order], np.empty(n, np.int8)
+    now, out = end[order], np.empty(n, np.int16)
     for t in range(int(size[0]) - 1, -1, -1):
         m = live[t]
         out[start[:m] + t] = now[:m]
@@ -167,6 +172,33 @@ def viterbi(s: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def _one_pass(s: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
+    """As viterbi; holds a bit for each word and label, and a label for each word."""
+    n, k = s.shape
+    size = np.diff(docs)
+    order = np.argsort(-size, kind="stable")
+    start, size = docs[:-1][order], size[order]
+    live = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # texts longer than t
+    v = np.zeros((len(size), k))
+    stays, bests = [], []
+    for t in range(int(size[0])):
+        m = live[t]
+        best = v[:m].argmax(axis=1)
+        jump = v[:m].max(axis=1, keepdims=True) - penalty
+        stay = v[:m] >= jump
+        stays.append(np.packbits(stay, axis=1))
+        bests.append(best.astype(np.int16))
+        v[:m] = np.where(stay, v[:m], jump) + s[start[:m] + t]
+    now, out = v.argmax(axis=1), np.empty(n, np.int16)
+    for t in range(int(size[0]) - 1, -1, -1):
+        m = live[t]
+        here = now[:m]
+        out[start[:m] + t] = here
+        kept = stays[t][np.arange(m), here >> 3] >> (7 - (here & 7)) & 1
+        now[:m] = np.where(kept, here, bests[t])
+    return out
+
+
 def is_held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 

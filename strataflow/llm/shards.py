@@ -11,7 +11,8 @@ padded with zeros. A shard is written under another name and then moved to its o
 no half shard.
 
 The sequences' numbers follow the order in which Spark reads the input's files, which is the same each time the same
-files are read with the same settings. Tokenisation runs twice, once to count, so that no ids have to be kept.
+files are read with the same settings; rows that come from a shuffle are written first. Tokenisation runs twice, once to
+count, so that no ids have to be kept. A partition that doesn't give the number of sequences counted before fails.
 
 Cases: null and empty text are one sequence that holds the end id alone. Repeated rows are sequences each. Strings of
 special tokens inside a text are encoded as ordinary text. An empty table makes no shard. Other columns are not carried.
@@ -33,7 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.arrowtext import mix, release, slices
-from strataflow.session import read_table, shared_path, ship_package
+from strataflow.session import read_table, shared_path, ship_package, steady
+
+
+#: Bytes of shards that a task writes, at most, but for a shard's own size.
+PART = 512_000_000
 
 
 @dataclass(frozen=True)
@@ -133,16 +138,20 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
     """doc_id, seq, slot, ids of every sequence; counts: as from count_sequences."""
     parts = sorted(counts)
     total = sum(counts.values())
-    base = dict(zip(parts, np.cumsum([0] + [counts[p] for p in parts[:-1]]).tolist(), strict=True)) if parts else {}
+    base = {p: (b, counts[p]) for p, b in zip(parts, np.cumsum([0] + [counts[p] for p in parts[:-1]]).tolist(), strict=True)} if parts else {}
     bases = docs.sparkSession.sparkContext.broadcast(base)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, step = bases.value.get(TaskContext.get().partitionId(), 0), layout.length * layout.width
+        at = end = None
+        step = layout.length * layout.width
         for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column("text"), 64_000_000)):
             bodies = [token_bytes(text, layout) for text in batch.column("text").to_pylist()]
+            if bodies and at is None:
+                at, n_here = bases.value[TaskContext.get().partitionId()]
+                end = at + n_here
             sizes = np.array([len(x) for x in bodies], np.int64)
             n = -(-sizes // step)
             row = np.repeat(np.arange(len(bodies)), n)
@@ -150,9 +159,13 @@ def sequences(docs: DataFrame, layout: Layout, counts: dict[int, int]) -> DataFr
             starts = np.repeat(np.cumsum(sizes) - sizes, n) + seq * step
             offs = np.append(starts, sizes.sum()).astype(np.int32)
             ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(bodies))])
-            slot = feistel(np.arange(at, at + len(row)), total, layout.key)
-            at += len(row)
+            if len(row) and at + len(row) > end:
+                raise RuntimeError("the input's partitions are not those that were counted")
+            slot = feistel(np.arange(at, at + len(row)) if len(row) else row, total, layout.key)
+            at = at + len(row) if len(row) else at
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(seq, pa.int32()), pa.array(slot), ids], names=["doc_id", "seq", "slot", "ids"])
+        if at != end:
+            raise RuntimeError("the input's partitions are not those that were counted")
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, seq int, slot long, ids binary")
@@ -213,9 +226,11 @@ def write_shards(placed: DataFrame, folder: str, layout: Layout) -> DataFrame:
 def materialise_order(docs: DataFrame, folder: str, layout: Layout) -> DataFrame:
     """The manifest of all sequences; asking for its rows writes their shards to the folder."""
     ship_package(docs.sparkSession)
+    docs = steady(docs.select("doc_id", "text"), "shards-input")
     counts = count_sequences(docs, layout)
-    shards = max(1, -(-sum(counts.values()) // layout.shard))
-    parts = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    total = sum(counts.values())
+    shards = max(1, -(-total // layout.shard))
+    parts = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * layout.stride // PART)))
     part = (F.floor(F.col("slot") / layout.shard) * parts / shards).cast("int")
     placed = sequences(docs, layout, counts).repartitionById(parts, part).sortWithinPartitions("slot")
     return write_shards(placed, folder, layout)

@@ -44,6 +44,16 @@ def test_shards_round_trip(spark, edges, rows, tmp_path):
             assert ids.tolist() == [*encode(text or ""), layout.end]
 
 
+def test_shards_of_other_partitions(spark):
+    layout = shards.Layout(shards.default_layout().vocabulary, length=16, shard=50)
+    docs = spark.createDataFrame([(i, "some words of a text " * i) for i in range(40)], "doc_id long, text string").coalesce(2)
+    counts = shards.count_sequences(docs, layout)
+    for wrong in ({p: n + 1 for p, n in counts.items()}, {p: n - 1 for p, n in counts.items()}, {p + 7: n for p, n in counts.items()}):
+        with pytest.raises(Exception, match="not those that were counted|KeyError"):
+            shards.sequences(docs, layout, wrong).count()
+    assert shards.sequences(docs, layout, counts).agg(F.countDistinct("slot")).first()[0] == sum(counts.values())
+
+
 def test_shards_of_nothing(spark, empty, tmp_path):
     assert shards.materialise_order(empty, str(tmp_path / "s"), shards.default_layout()).collect() == []
 
@@ -51,8 +61,10 @@ def test_shards_of_nothing(spark, empty, tmp_path):
 # ---- 2 ----
 
 
-def test_viterbi_is_best(monkeypatch):
+@pytest.mark.parametrize("cells", [1 << 26, 0])
+def test_viterbi_is_best(monkeypatch, cells):
     monkeypatch.setattr(langid, "PIECE", 7)
+    monkeypatch.setattr(langid, "CELLS", cells)
     rng = np.random.default_rng(0)
     for _ in range(30):
         docs = np.concatenate(([0], np.cumsum(rng.integers(0, 40, 6))))
@@ -79,6 +91,22 @@ def test_language_accuracy(spark):
     assert other.langs == model.langs and (other.tables == model.tables).all()
 
 
+def test_more_languages_than_a_byte_holds(monkeypatch):
+    rng = np.random.default_rng(18)
+    s = rng.normal(size=(300, 140))
+    s[:150, 135] += 9
+    s[150:, 139] += 9
+    docs = np.array([0, 100, 100, 290, 300])
+    one = langid.viterbi(s, docs, 12.0)
+    monkeypatch.setattr(langid, "CELLS", 0)
+    assert (one == langid.viterbi(s, docs, 12.0)).all() and one[:150].tolist() == [135] * 150 and one[150:].tolist() == [139] * 150
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(140)]
+    counts = [langid._counts([(w + " ") * 20]) for w in words]
+    model = langid.Model([f"l{i:03}" for i in range(140)], np.stack([c[0] for c in counts]), np.stack([c[1] for c in counts]))
+    lang, _, _ = langid.label([(w + " ") * 5 for w in words], model)
+    assert lang == [f"l{words.index(w):03}" for w in words]
+
+
 def test_mixed_text(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     model = langid.train(docs)
@@ -724,7 +752,7 @@ def test_bpe(spark, edges, empty, rows):
     tokenizer = Tokenizer.from_file(bpe.default_path())
     odd = [(2001, "a<|endoftext|> b  c\n\n d it's we'LL 12a٣ ՘x 中文。  x <|endoftext|>"), (2002, "  \n  x "), (2003, "² ½ 〇 ªº _a__ 'S 's"), (2004, "\x1c\x85  z")]
     docs = edges.select("doc_id", "text").unionByName(docs_of(spark, odd)).unionByName(read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text"))
-    got = bpe.encode(docs, decode=True).collect()
+    got = bpe.decode(bpe.encode(docs)).collect()
     texts = docs.collect()
     assert len(got) == len(texts)
     want = []
@@ -732,7 +760,20 @@ def test_bpe(spark, edges, empty, rows):
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
         want.append((str(r.doc_id), np.array(ids, "<u4").tobytes(), tokenizer.decode(ids, skip_special_tokens=False)))
     assert sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in got) == sorted(want)
-    assert bpe.encode(empty, decode=True).count() == 0
+    assert bpe.decode(bpe.encode(empty)).count() == 0
+
+
+def test_decoding_any_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(bpe.default_path()), np.random.default_rng(17)
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    rows = [(i, rng.integers(0, size, n).astype("<u4").tobytes(), "junk") for i, n in enumerate([0, 1, 2, 50, 400, 3])] + [(9, None, None)]
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids binary, decoded string")).collect()}
+    assert got == {i: None if x is None else tokenizer.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for i, x, _ in rows}
+    with pytest.raises(ValueError):
+        bpe.joined_pieces(np.array([size], np.uint32), np.array([0, 1]), bpe.bpe(bpe.default_path()).pieces)
+    assert list(bpe._groups(np.array([5, 0, 9, 30, 1]), 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
 
 
 def test_splitter():
