@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.arrowtext import lowered, mix, release, slices, tokens, utf8, windows
@@ -124,6 +124,11 @@ def _window_rows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None
     return out
 
 
+def row_key(key: str) -> Column:
+    """128 bits that tell rows apart."""
+    return F.concat_ws("-", F.hex(F.xxhash64(key, "text")), F.hex(F.xxhash64("text", key)))
+
+
 def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = None, whole: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
@@ -146,11 +151,11 @@ def _windows(table: DataFrame, key: str, lengths: list[int], wanted: object = No
         release()
 
     kind = table.schema[key].dataType.simpleString()
-    return table.select(key, F.xxhash64(key, "text").alias("key"), "text").mapInArrow(run, f"{key} {kind}, key long, pos int, n int, hash long, slots array<string>, places array<int>, variant int")
+    return table.select(key, row_key(key).alias("key"), "text").mapInArrow(run, f"{key} {kind}, key string, pos int, n int, hash long, slots array<string>, places array<int>, variant int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, key (of the row: xxhash64 of doc_id and text), n_windows matched, coverage, changed (some slot differs)."""
+    """doc_id, item_id, key (of the row, as row_key), n_windows matched, coverage, changed (some slot differs)."""
     spark = docs.sparkSession
     ship_package(spark)
     items = cut(_windows(benchmark.select("item_id", "text").distinct(), "item_id", list(range(1, words + 1)), whole=words))
@@ -190,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs that leak no item."""
     leaks = find_leaks(docs, benchmark, **limits).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(leaks, "_key", "left_anti").drop("_key")
+    return docs.withColumn("_key", row_key("doc_id")).join(leaks, "_key", "left_anti").drop("_key")
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
