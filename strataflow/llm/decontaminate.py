@@ -4,7 +4,8 @@ A text becomes a template: numbers, names (capitalised words inside a sentence)
 typed slots, other words into hashes of their lower-cased bytes, and punctuation goes. Windows of WORDS template
 words of documents and benchmark items are joined by hash. Windows of a document that lie along one item at one offset
 are a placement. In it a value of the item's slots is bound to the value it faces in the document in at least half of
-its places, if there is one; windows with another value there don't count, unless it is the item's own. So a question
+its places, if there is one, and no two of them to the same; windows with another value there don't count, unless it is
+the item's own. So a question
 with new numbers or names is found, and a chance likeness of slots is not. Items' windows are there a second
 time with names as plain words, for documents in capitals or without any. A capitalised word that begins a sentence or
 line may be a name or not, so windows with one are there both ways, of items and of documents. A document leaks an item if
@@ -177,7 +178,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, covera
     placement = ["key", "item_key", "offset"]
     faced = met.select(*placement, F.explode("pairs").alias("p")).groupBy(*placement, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).agg(F.count_distinct("p.places").alias("k"))
     most = faced.groupBy(*placement, "old").agg(F.max(F.struct("k", F.col("new").eqNullSafe(F.col("old")).alias("same"), "new")).alias("top"), F.sum("k").alias("all"))
-    bound = most.where(2 * F.col("top.k") >= F.col("all")).groupBy(*placement).agg(F.map_from_entries(F.collect_list(F.struct("old", F.col("top.new")))).alias("bound"))
+    # one-to-one: of several values that face one value the one with most places is bound, or the one that is the same
+    single = most.where(2 * F.col("top.k") >= F.col("all")).groupBy(*placement, F.col("top.new").alias("new")).agg(F.max(F.struct("top.same", "top.k", "old")).alias("one"))
+    bound = single.groupBy(*placement).agg(F.map_from_entries(F.collect_list(F.struct(F.col("one.old"), "new"))).alias("bound"))
     agrees = F.forall("pairs", lambda p: (p["slots"] == p["item_slots"]) | F.coalesce(F.try_element_at("bound", p["item_slots"]) == p["slots"], F.lit(False)))
     counted = met.join(bound, placement, "left").where(agrees).withColumn("changed", F.exists("pairs", lambda p: p["slots"] != p["item_slots"]))
     # consecutive windows of one placement that make up a run of words

@@ -361,6 +361,13 @@ def test_slots_must_agree(spark):
     assert got == {1}
 
 
+def test_slots_are_one_to_one(spark):
+    item = "first 12 pears go to the market then 15 pears go to the farm and then 18 pears go to the mill"
+    docs = docs_of(spark, [(1, item.replace("12", "7").replace("15", "7").replace("18", "7")), (2, item.replace("12", "15").replace("18", "30").replace("then 15", "then 40", 1))])
+    got = {r.doc_id: r.coverage for r in decontaminate.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), coverage=0.9).collect()}
+    assert got == {1: 0.4, 2: 1.0}  # of the first, windows with 12 alone count, and are a run
+
+
 def test_leaks_by_containment(spark):
     d = "/root/testdata/sf0.01"
     docs, items = read_table(spark, d, "documents"), read_table(spark, d, "benchmark")
