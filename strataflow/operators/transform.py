@@ -2,10 +2,11 @@
 
 A new element's coefficient is its value less the mean of its two neighbours on its level. Neighbours are coarser
 elements, whose values the hierarchical basis keeps, so each coarser element sends its value to the finer ones beside it
-and one grouped sum gives all coefficients. Going back is that sum level by level, on tables that halve each time.
+and one grouped sum gives all coefficients. Going back, where each level needs the one before, is worked a block at a time
+in NumPy, with one shuffle for all levels; so are fields of two or three axes, and the orthogonal basis (which solves a
+tridiagonal system on each line). A block is the unit that a caller chooses to fit in memory.
 
-Fields of two or three axes, and the orthogonal basis (which solves a tridiagonal system on each line), are worked a
-block at a time in NumPy: a block is the unit that a caller chooses to fit in memory.
+`by` names the columns that make up a block: the block's number, and the variable where there are several.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.grid import level_dims, level_of, places
-from strataflow.session import cut
+from strataflow.session import ship_package
 
-KEYS = ["block", "idx"]
+BY = ("block",)
 
 
-def with_extent(field: DataFrame) -> DataFrame:
+def with_extent(field: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """field with n, the number of elements in its block."""
-    sizes = field.groupBy("block").agg((F.max("idx") + 1).alias("n"))
-    return field.join(sizes, "block")
+    sizes = field.groupBy(*by).agg((F.max("idx") + 1).alias("n"))
+    return field.join(sizes, list(by))
 
 
 def with_level(field: DataFrame, levels: int) -> DataFrame:
     return field.withColumn("level", level_of(F.col("idx"), F.col("n"), levels))
 
 
-def _sends(levels: int, only: int | None = None) -> Column:
-    """The finer elements beside an element (on one level, or on all that are finer than its own)."""
+def _sends(levels: int) -> Column:
+    """The finer elements beside an element, on all levels that are finer than its own."""
     idx, n = F.col("idx"), F.col("n")
     out = []
     for k, (c, m) in enumerate(places(idx, n, levels)):
-        if k == levels or (only is not None and levels - k != only):
+        if k == levels:
             continue
         coarse = F.col("level") < levels - k
         for step in (-1, 1):
@@ -46,31 +47,39 @@ def _sends(levels: int, only: int | None = None) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def decompose(field: DataFrame, levels: int) -> DataFrame:
-    """(block, idx, n, level, value): coefficients of new elements, values of the coarsest."""
-    own = with_level(with_extent(field.select(*KEYS, "value")), levels)
-    sent = own.select("block", F.explode(_sends(levels)).alias("idx"), F.col("value").alias("beside"))
-    rows = own.select(*KEYS, "n", "level", "value", F.lit(None).cast("double").alias("beside")).unionByName(
-        sent.select(*KEYS, F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"), "beside")
+def decompose(field: DataFrame, levels: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, idx, n, level, value): coefficients of new elements, values of the coarsest."""
+    keys = [*by, "idx"]
+    own = with_level(with_extent(field.select(*keys, "value"), by), levels)
+    sent = own.select(*by, F.explode(_sends(levels)).alias("idx"), F.col("value").alias("beside"))
+    rows = own.select(*keys, "n", "level", "value", F.lit(None).cast("double").alias("beside")).unionByName(
+        sent.select(*keys, F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"), "beside")
     )
-    whole = rows.groupBy(*KEYS).agg(F.max("n").alias("n"), F.max("level").alias("level"), F.max("value").alias("_v"), F.sum("beside").alias("_b"))
-    return whole.select(*KEYS, "n", "level", F.when(F.col("level") == 0, F.col("_v")).otherwise(F.col("_v") - F.col("_b") / 2).alias("value"))
+    whole = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.max("level").alias("level"), F.max("value").alias("_v"), F.sum("beside").alias("_b"))
+    return whole.select(*keys, "n", "level", F.when(F.col("level") == 0, F.col("_v")).otherwise(F.col("_v") - F.col("_b") / 2).alias("value"))
 
 
-def recompose(coefficients: DataFrame, levels: int, upto: int | None = None) -> DataFrame:
-    """(block, idx, n, level, value) of the elements on levels 0..upto, from their coefficients.
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def recompose(coefficients: DataFrame, levels: int, upto: int | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, idx, n, level, value) of the elements on levels 0..upto, from their coefficients.
 
     Elements of finer levels are not made up; `upsample` does that.
     """
-    coefficients = cut(coefficients)
-    done = coefficients.where("level = 0").select(*KEYS, "n", "level", "value")
-    for level in range(1, (levels if upto is None else upto) + 1):
-        new = coefficients.where(F.col("level") == level).select(*KEYS, "n", "level", "value", F.lit(None).cast("double").alias("beside"))
-        sent = done.select("block", F.explode(_sends(levels, level)).alias("idx"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"), F.col("value").alias("beside"))
-        both = new.unionByName(sent).groupBy(*KEYS).agg(F.max("n").alias("n"), F.max("level").alias("level"), F.max("value").alias("_c"), F.sum("beside").alias("_b"))
-        done = done.unionByName(both.where("level is not null").select(*KEYS, "n", "level", (F.col("_c") + F.col("_b") / 2).alias("value")))
-        done = cut(done)  # each level is read twice by the next; tables halve with the level
-    return done
+    ship_package(coefficients.sparkSession)
+    held = coefficients if upto is None else coefficients.where(F.col("level") <= upto)
+    columns = [*by, "idx", "n", "level", "value"]
+    held = held.select(*columns[:-1], F.col("value").cast("double").alias("value"))
+
+    def run(table: pa.Table) -> pa.Table:
+        idx = table.column("idx").to_numpy()
+        flat = np.zeros(int(table.column("n")[0].as_py()))
+        flat[idx] = table.column("value").to_numpy()
+        return table.set_column(len(columns) - 1, "value", pa.array(block_recompose(flat, levels)[idx]))
+
+    return held.groupBy(*by).applyInArrow(run, _kinds(held, columns))
 
 
 def zero_beyond(coefficients: DataFrame, level: int) -> DataFrame:
@@ -78,14 +87,14 @@ def zero_beyond(coefficients: DataFrame, level: int) -> DataFrame:
     return coefficients.withColumn("value", F.when(F.col("level") <= level, F.col("value")).otherwise(F.lit(0.0)))
 
 
-def upsample(coefficients: DataFrame, levels: int, level: int) -> DataFrame:
+def upsample(coefficients: DataFrame, levels: int, level: int, by: tuple[str, ...] = BY) -> DataFrame:
     """The full grid that the levels up to one give, coefficients of the finer ones being 0."""
-    return recompose(zero_beyond(coefficients, level), levels)
+    return recompose(zero_beyond(coefficients, level), levels, by=by)
 
 
-def interleave(coefficients: DataFrame) -> DataFrame:
+def interleave(coefficients: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """With pos, an element's place among those of its block and level, by index."""
-    return coefficients.withColumn("pos", (F.row_number().over(Window.partitionBy("block", "level").orderBy("idx")) - 1).cast("bigint"))
+    return coefficients.withColumn("pos", (F.row_number().over(Window.partitionBy(*by, "level").orderBy("idx")) - 1).cast("bigint"))
 
 
 # ---- whole blocks in NumPy ----
@@ -207,16 +216,19 @@ def block_levels(dims: list[int], levels: int) -> np.ndarray:
     return out
 
 
-def transform_blocks(field: DataFrame, dims: list[int], levels: int, basis: str = "hierarchical", inverse: bool = False) -> DataFrame:
-    """(block, idx, level, value) of fields whose blocks are boxes of these extents, flat index row-major."""
+def transform_blocks(field: DataFrame, dims: list[int], levels: int, basis: str = "hierarchical", inverse: bool = False, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, idx, level, value) of fields whose blocks are boxes of these extents, flat index row-major."""
     if len(level_dims(dims, levels)[0]) > 3:
         raise ValueError("one to three axes")
+    ship_package(field.sparkSession)
+    held = field.select(*by, "idx", F.lit(0).alias("level"), F.col("value").cast("double").alias("value"))
 
     def run(table: pa.Table) -> pa.Table:
         idx = table.column("idx").to_numpy()
         flat = np.zeros(int(np.prod(dims)))
         flat[idx] = table.column("value").to_numpy()
         box = (block_recompose if inverse else block_decompose)(flat.reshape(dims), levels, basis)
-        return pa.table({"block": table.column("block"), "idx": table.column("idx"), "level": block_levels(dims, levels).ravel()[idx], "value": box.ravel()[idx]})
+        table = table.set_column(len(by) + 1, "level", pa.array(block_levels(dims, levels).ravel()[idx]))
+        return table.set_column(len(by) + 2, "value", pa.array(box.ravel()[idx]))
 
-    return field.select(*KEYS, "value").groupBy("block").applyInArrow(run, "block long, idx long, level int, value double")
+    return held.groupBy(*by).applyInArrow(run, _kinds(held, [*by, "idx", "level", "value"]))

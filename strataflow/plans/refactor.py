@@ -37,25 +37,22 @@ class Config:
     dims: tuple[int, ...] = default(default=())
 
 
+_FIELD = ("block", "var")
+
+
 def _coefficients(df: DataFrame, config: Config) -> DataFrame:
-    """(block, var, idx, n, level, value): each variable's blocks are transformed apart."""
+    """(block, var, idx, level, value): blocks of all variables in one pass."""
     if config.dims:
         check_levels(list(config.dims), config.levels)
-    out = None
-    names = [r["var"] for r in df.select("var").distinct().collect()]  # names, not data
-    for name in sorted(names):
-        one = df.where(F.col("var") == name)
-        if config.dims:
-            part = transform.transform_blocks(one, list(config.dims), config.levels, config.basis)
-        elif config.basis == "hierarchical":
-            part = transform.decompose(one, config.levels).drop("n")
-        else:
-            raise ValueError("the orthogonal basis needs the blocks' extents")
-        part = part.withColumn("var", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        return transform.transform_blocks(df, list(config.dims), config.levels, config.basis, by=_FIELD)
+    if config.basis != "hierarchical":
+        raise ValueError("the orthogonal basis needs the blocks' extents")
+    # lines may differ in length; shorter ones have levels without elements, but one must be long enough
+    longest = df.agg((F.max("idx") + 1).alias("n")).first()["n"]
+    if longest is None:
         raise ValueError("no variable")
-    return out
+    check_levels([longest], config.levels)
+    return transform.decompose(df, config.levels, _FIELD).drop("n")
 
 
 def refactor(df: DataFrame, path: str, config: Config) -> DataFrame:
@@ -118,16 +115,12 @@ class Session:
 
     def reconstruct(self, tau: float, most: int | None = None) -> DataFrame:
         """(block, var, idx, value) on the full grid, every value within tau unless `most` forbids the levels for it."""
-        coef, out = self.coefficients(tau, most), None
-        for name in sorted(r["var"] for r in self.manifest.select("var").distinct().collect()):
-            one = coef.where(F.col("var") == name)
-            if self.dims:
-                part = transform.transform_blocks(one, self.dims, self.levels, self.basis, inverse=True)
-            else:
-                part = transform.recompose(transform.with_extent(one), self.levels)
-            part = part.select("block", F.lit(name).alias("var"), "idx", "value")
-            out = part if out is None else out.unionByName(part)
-        return out
+        coef = self.coefficients(tau, most)
+        if self.dims:
+            back = transform.transform_blocks(coef, self.dims, self.levels, self.basis, inverse=True, by=_FIELD)
+        else:
+            back = transform.recompose(transform.with_extent(coef, _FIELD), self.levels, by=_FIELD)
+        return back.select("block", "var", "idx", "value")
 
     def estimate(self) -> DataFrame:
         """(block, var, estimate): the error bound of what has been read so far."""
