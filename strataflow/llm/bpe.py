@@ -298,6 +298,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     coded = words.mapInArrow(encode_words(path), "block long, body binary")
     packed = docs.mapInArrow(_packed, "block long, body binary")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    # in as many parts as there are of words, whose number grows with the input
+    packed, coded = (x.repartition(parts, "block") for x in (packed, coded))
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(code_blocks(path), schema)
 
 
