@@ -5,6 +5,10 @@ A bound is NULL where the error can't be bounded (a divisor whose error reaches
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,18 +56,22 @@ def quotient_bound(x: Column, y: Column, ex: Column, ey: Column) -> Column:
     return (F.abs(x) * ey + F.abs(y) * ex) / F.abs(y * _beyond(y, ey))
 
 
-def speed2(vx: Column, vy: Column, vz: Column) -> Column:
-    return vx * vx + vy * vy + vz * vz
+def _sum(terms: Iterable[Column]) -> Column:
+    return reduce(add, terms)
+
+
+def speed2(*v: Column) -> Column:
+    return _sum(x * x for x in v)
 
 
-def speed(vx: Column, vy: Column, vz: Column) -> Column:
-    return F.sqrt(speed2(vx, vy, vz))
+def speed(*v: Column) -> Column:
+    """The length of a vector of any number of components."""
+    return F.sqrt(speed2(*v))
 
 
-def speed_bound(v: tuple[Column, Column, Column], e: tuple[Column, Column, Column]) -> Column:
+def speed_bound(v: Sequence[Column], e: Sequence[Column]) -> Column:
     """Bound of the speed's error, from the squares' bounds."""
-    e2 = square_bound(v[0], e[0]) + square_bound(v[1], e[1]) + square_bound(v[2], e[2])
-    return sqrt_bound(speed2(*v), e2)
+    return sqrt_bound(speed2(*v), _sum(square_bound(x, b) for x, b in zip(v, e, strict=True)))
 
 
 def tighten_speed(v: tuple[Column, Column, Column], e: tuple[Column, Column, Column], tau: Column) -> Column:

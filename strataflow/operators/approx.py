@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from strataflow.functions.grid import unflatten
 
 #: The base bound's share of the range; segments of single and double precision; rungs of snapshots.
 BASE_SHARE, SEGMENTS, RUNGS = 0.001, {"float": 7, "double": 16}, {"serial": 18, "parallel": 10}
@@ -23,6 +28,47 @@ def approximate(v: Column, bound: Column) -> Column:
     return F.coalesce(restore(quantise(v, bound), bound), v)
 
 
+def predicted(v: Column, bound: Column, before: Column) -> Column:
+    """The number of the cell of what a value differs by from the approximation of the one before it."""
+    return quantise(v, bound) - F.coalesce(quantise(before, bound), F.lit(0))
+
+
+def predict_lines(field: DataFrame, by: list[str], bound: str = "bound0") -> DataFrame:
+    """field with code: small numbers for smooth lines, from which `unpredict_lines` makes the approximation again.
+
+    Cells are numbered alike all along a line, so the difference of neighbours' numbers is the code and nothing drifts.
+    """
+    before = F.lag("value").over(Window.partitionBy(*by).orderBy("idx"))
+    return field.withColumn("code", predicted(F.col("value"), F.col(bound), before))
+
+
+def unpredict_lines(coded: DataFrame, by: list[str], bound: str = "bound0") -> DataFrame:
+    """coded with base, the approximation: running sums of the codes are the cells."""
+    cell = F.sum("code").over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return coded.withColumn("base", restore(cell, F.col(bound)))
+
+
+def predict_boxes(field: DataFrame, by: list[str], dims: list[int], bound: str = "bound0") -> DataFrame:
+    """As predict_lines for boxes: the difference is taken along every axis in turn, flat index row-major."""
+    out = field.withColumn("code", quantise(F.col("value"), F.col(bound)))
+    return _along(out, by, dims, lambda w: F.col("code") - F.coalesce(F.lag("code").over(w), F.lit(0)))
+
+
+def unpredict_boxes(coded: DataFrame, by: list[str], dims: list[int], bound: str = "bound0") -> DataFrame:
+    """Running sums along every axis in turn."""
+    cells = _along(coded.withColumn("_code", F.col("code")), by, dims, lambda w: F.sum("code").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cells.withColumn("base", restore(F.col("code"), F.col(bound))).withColumn("code", F.col("_code")).drop("_code")
+
+
+def _along(rows: DataFrame, by: list[str], dims: list[int], change: Callable[[WindowSpec], Column]) -> DataFrame:
+    at = unflatten(F.col("idx"), dims)
+    names = [f"_a{i}" for i in range(len(dims))]
+    rows = rows.withColumns(dict(zip(names, at, strict=True)))
+    for name in names:
+        rows = rows.withColumn("code", change(Window.partitionBy(*by, *(x for x in names if x != name)).orderBy(name)))
+    return rows.drop(*names)
+
+
 def nothing(v: Column) -> Column:
     """The approximation that predicts 0: the residual is the value."""
     return v * 0
@@ -84,6 +130,16 @@ def snapshots(field: DataFrame, keys: list[str], by: list[str], rungs: int) -> D
     return ranged.select(*keys, F.posexplode(copies)).select(*keys, F.col("pos").alias("snapshot"), F.col("col").alias("value"))
 
 
+def rung_bits(rung: int) -> int:
+    """Bits of a cell's number in a snapshot: the range has 10^(rung + 1) / 2 cells and one, counted from the lowest value's."""
+    return (10 ** (rung + 1) // 2 + 1).bit_length()
+
+
+def segment_bits(segment: int) -> int:
+    """Bits of a cell's number in a delta segment: of the range in the first, of the cell before in the others, with a sign."""
+    return rung_bits(0) if segment == 0 else 4
+
+
 def snapshot_for(relative: Column, rungs: int) -> Column:
     """The coarsest snapshot whose relative bound is at most the one asked; the finest if none is."""
     out = F.lit(rungs - 1)

@@ -143,16 +143,59 @@ def unpack_planes(bodies: list[bytes], n: int, planes: int, signed: bool, start:
     return code, sign
 
 
+def pack_groups(code: np.ndarray, sign: np.ndarray, planes: int, word: int = WORD) -> list[bytes]:
+    """Each plane by groups of `word` elements: which groups begin in it, their sign words, and words of groups begun.
+
+    Planes before a group's first one take a bit, not a word. A table of the starting planes is spread over the planes:
+    in each, groups not yet begun have a bit that says whether they begin.
+    """
+    n = -(-len(code) // word)
+    full = np.zeros((n, word), np.int64)
+    full.ravel()[: len(code)] = code
+    signs = np.zeros((n, word), bool)
+    signs.ravel()[: len(code)] = sign & (code > 0)
+    begun, out = np.zeros(n, bool), []
+    for p in range(planes):
+        bits = (full >> (planes - 1 - p) & 1).astype(bool)
+        begin = ~begun & bits.any(axis=1)
+        body = np.packbits(begin[~begun]).tobytes() + np.packbits(signs[begin], axis=1).tobytes()
+        begun |= begin
+        out.append(body + np.packbits(bits[begun], axis=1).tobytes())
+    return out
+
+
+def unpack_groups(bodies: list[bytes], n: int, planes: int, start: int = 0, code: np.ndarray | None = None, sign: np.ndarray | None = None, word: int = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and signs from planes start, start + 1, ..., on top of those that earlier planes gave.
+
+    All of a group's signs come when it begins; those of elements without a one so far mean nothing yet.
+    """
+    groups = -(-n // word)
+    full, signs = np.zeros((groups, word), np.int64), np.zeros((groups, word), bool)
+    if code is not None:
+        full.ravel()[:n], signs.ravel()[:n] = code, sign
+    begun, wide = (full != 0).any(axis=1), -(-word // 8)
+    for p, body in enumerate(bodies, start):
+        rest = np.flatnonzero(~begun)
+        told = np.unpackbits(np.frombuffer(body, np.uint8, -(-len(rest) // 8)), count=len(rest)).astype(bool)
+        at, begin = -(-len(rest) // 8), rest[told]
+        signs[begin] = np.unpackbits(np.frombuffer(body, np.uint8, len(begin) * wide, at).reshape(len(begin), wide), axis=1, count=word).astype(bool)
+        at += len(begin) * wide
+        begun[begin] = True
+        bits = np.unpackbits(np.frombuffer(body, np.uint8, int(begun.sum()) * wide, at).reshape(-1, wide), axis=1, count=word)
+        full[begun] |= bits.astype(np.int64) << (planes - 1 - p)
+    return full.ravel()[:n], signs.ravel()[:n]
+
+
 FRAGMENTS = "block long, var string, level int, plane int, payload binary, size long, raw_size long, compressed boolean, n long"
 
 
 def fragments(coded: DataFrame, planes: int, form: str = "perbit", policy: str = "adaptive", latter: int = 26) -> DataFrame:
     """Packed planes of each (block, var, level), a unit that fits in memory. coded: pos, code, sign among the rest."""
-    signed = "negabinary" not in form
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("pos").to_numpy(), kind="stable")
-        raw = pack_planes(table.column("code").to_numpy()[order], table.column("sign").to_numpy(zero_copy_only=False)[order], planes, signed)
+        code, sign = table.column("code").to_numpy()[order], table.column("sign").to_numpy(zero_copy_only=False)[order]
+        raw = pack_groups(code, sign, planes) if form == "grouped" else pack_planes(code, sign, planes, "negabinary" not in form)
         small = [_squeeze(b) for b in raw]
         keep = kept_compressed([len(a) / len(b) for a, b in zip(raw, small, strict=True)], policy, latter)
         bodies = [s if k else r for r, s, k in zip(raw, small, keep, strict=True)]
@@ -168,7 +211,7 @@ def fragments(coded: DataFrame, planes: int, form: str = "perbit", policy: str =
 CODES = "block long, var string, level int, pos long, code long, sign boolean, taken int"
 
 
-def _unpacked(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table | None, planes: int, signed: bool) -> pa.Table:
+def _unpacked(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table | None, planes: int, form: str) -> pa.Table:
     had = held.num_rows > 0 if held is not None else False
     if table.num_rows == 0:
         return held.select(["block", "var", "level", "pos", "code", "sign", "taken"])
@@ -180,18 +223,18 @@ def _unpacked(key: tuple[pa.Scalar, ...], table: pa.Table, held: pa.Table | None
     n = table.column("n")[0].as_py()
     bodies = [_expand(b) if c else b for b, c in zip(table.column("payload").to_pylist(), table.column("compressed").to_pylist(), strict=True)]
     before = (held.column("code").to_numpy(), held.column("sign").to_numpy(zero_copy_only=False)) if had else (None, None)
-    code, sign = unpack_planes(bodies, n, planes, signed, start, *before)
+    code, sign = unpack_groups(bodies, n, planes, start, *before) if form == "grouped" else unpack_planes(bodies, n, planes, "negabinary" not in form, start, *before)
     fill = lambda v, t: pa.array([v] * n, t)
     return pa.table({"block": fill(key[0].as_py(), pa.int64()), "var": fill(key[1].as_py(), pa.string()), "level": fill(key[2].as_py(), pa.int32()), "pos": np.arange(n), "code": code, "sign": sign, "taken": fill(start + len(bodies), pa.int32())})
 
 
 def unpack(frags: DataFrame, planes: int, form: str = "perbit", held: DataFrame | None = None) -> DataFrame:
     """(block, var, level, pos, code, sign, taken) from fragments: planes 0, 1, ... of their level, or those after the held ones."""
-    signed, by = "negabinary" not in form, ["block", "var", "level"]
+    by = ["block", "var", "level"]
     new = frags.select(*by, "plane", "payload", "compressed", "n").groupBy(*by)
     if held is None:
-        return new.applyInArrow(lambda key, t: _unpacked(key, t, None, planes, signed), CODES)
-    return new.cogroup(held.groupBy(*by)).applyInArrow(lambda key, t, h: _unpacked(key, t, h, planes, signed), CODES)
+        return new.applyInArrow(lambda key, t: _unpacked(key, t, None, planes, form), CODES)
+    return new.cogroup(held.groupBy(*by)).applyInArrow(lambda key, t, h: _unpacked(key, t, h, planes, form), CODES)
 
 
 def dense(df: DataFrame, by: list[str], order: str = "idx") -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.session import ship_package
+
 CUTOFF = 10.0
 
 
@@ -28,6 +30,20 @@ def rmsf(trajectory: DataFrame, by: list[str] = ["atom"]) -> DataFrame:  # noqa:
     return trajectory.groupBy(*by).agg(F.sqrt(spread).alias("rmsf"), F.count("*").alias("n_frames"))
 
 
+def aligned_rmsf(trajectory: DataFrame, selections: dict[str, DataFrame], reference: DataFrame | None = None) -> DataFrame:
+    """(selection, atom, rmsf, n_frames): for each selection, fluctuations of its atoms once frames are superposed by them.
+
+    The reference is the first frame, unless one (atom, x, y, z) is given.
+    """
+    out = None
+    for name, atoms in selections.items():  # selections, not data
+        picked = select_atoms(trajectory, atoms)
+        fixed = reference if reference is not None else picked.groupBy("atom").agg(*(F.min_by(c, "frame").alias(c) for c in "xyz"))
+        one = rmsf(align(picked, fixed)).select(F.lit(name).alias("selection"), "atom", "rmsf", "n_frames")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def contacts(trajectory: DataFrame, cutoff: float = CUTOFF, by: list[str] = ["frame"], box: tuple[float, float, float] | None = None) -> DataFrame:  # noqa: B006
     """Pairs of atoms (a < b) of a frame nearer than the cutoff; at exactly the cutoff they aren't.
 
@@ -85,6 +101,7 @@ def align(trajectory: DataFrame, reference: DataFrame, selection: DataFrame | No
 
     The reference travels with the frames by a join on the atom, whatever its size.
     """
+    ship_package(trajectory.sparkSession)
     ref = reference.select("atom", *(F.col(c).cast("double").alias(f"_{c}") for c in "xyz"))
     if selection is not None:
         ref = ref.join(selection.select("atom").distinct(), "atom", "left_semi")

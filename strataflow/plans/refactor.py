@@ -23,7 +23,9 @@ from strataflow.sources import store
 
 @dataclass(frozen=True)
 class Config:
-    """levels and planes; form: perbit, grouped (the same planes), negabinary, weighted_negabinary; basis; policy: adaptive, all, none.
+    """levels and planes; form: perbit, grouped, negabinary, weighted_negabinary; basis; policy: adaptive, all, none.
+
+    grouped has the planes of perbit, laid out by words of 32 elements without the planes before a word's first one.
 
     dims: extents of every block, for fields of two or three axes and for the orthogonal basis; else blocks are lines.
     """
@@ -44,6 +46,8 @@ def _coefficients(df: DataFrame, config: Config) -> DataFrame:
     """(block, var, idx, level, value): blocks of all variables in one pass."""
     if config.dims:
         check_levels(list(config.dims), config.levels)
+        if df.isEmpty():
+            raise ValueError("no variable")
         return transform.transform_blocks(df, list(config.dims), config.levels, config.basis, by=_FIELD)
     if config.basis != "hierarchical":
         raise ValueError("the orthogonal basis needs the blocks' extents")
@@ -55,8 +59,11 @@ def _coefficients(df: DataFrame, config: Config) -> DataFrame:
     return transform.decompose(df, config.levels, _FIELD).drop("n")
 
 
-def refactor(df: DataFrame, path: str, config: Config) -> DataFrame:
-    """Writes fragments and manifest of (block, var, idx, value); returns the manifest. Nothing is written of a bad config."""
+def refactor(df: DataFrame, path: str, config: Config, base: DataFrame | None = None) -> DataFrame:
+    """Writes fragments and manifest of (block, var, idx, value); returns the manifest. Nothing is written of a bad config.
+
+    base: block, var, approximator_eb, the bound of an approximation that the field was taken from.
+    """
     ship_package(df.sparkSession)
     bitplane.check_planes(config.planes, config.form)
     if df.where("value is null or isnan(value)").limit(1).count():
@@ -67,7 +74,8 @@ def refactor(df: DataFrame, path: str, config: Config) -> DataFrame:
     coded = encode.encoded(encode.dense(coef, by).join(bounds.select(*by, "exp"), by), config.planes, config.form)
     store.write_fragments(encode.fragments(coded, config.planes, config.form, config.policy, config.latter), path)
     manifest = bounds.select("block", "var", F.lit(list(config.dims)).cast("array<int>").alias("dims"), F.lit(config.levels).alias("levels"), F.lit(config.planes).alias("planes"), F.lit(config.form).alias("form"), F.lit(config.basis).alias("basis"), "level", "max_abs", "exp", "bound", "n")
-    store.write_manifest(manifest, path)
+    eb = F.lit(None).cast("double").alias("approximator_eb")
+    store.write_manifest(manifest.select("*", eb) if base is None else manifest.join(base.select("block", "var", "approximator_eb"), ["block", "var"], "left"), path)
     coef.select(*by, "idx").join(bounds.select(*by, "n"), by).write.mode("overwrite").partitionBy("var", "level").parquet(f"{path}/places")
     return store.read_manifest(df.sparkSession, path)
 
@@ -144,7 +152,31 @@ def refactor_precision(df: DataFrame, path: str, config: Config, share: float =
     """An approximation within a share of the range, and planes of what it leaves as one level."""
     based = cut(approx.based_residual(df, ["block", "var"], share))
     based.select("block", "var", "idx", "base", "bound0").write.mode("overwrite").partitionBy("var").parquet(f"{path}/base")
-    return refactor(based.select("block", "var", "idx", F.col("residual").alias("value")), path, Config(0, config.planes, config.form, "hierarchical", config.policy, config.latter))
+    held = based.groupBy("block", "var").agg(F.max("bound0").alias("approximator_eb"))
+    return refactor(based.select("block", "var", "idx", F.col("residual").alias("value")), path, Config(0, config.planes, config.form, "hierarchical", config.policy, config.latter), held)
+
+
+def refactor_deltas(df: DataFrame, path: str, segments: int, dims: tuple[int, ...] = ()) -> DataFrame:
+    """Residual segments of (block, var, idx, value), partitioned by variable and segment, and a manifest of ranges and sizes."""
+    rows = approx.refactor_deltas(df, ["block", "var", "idx"], ["block", "var"], segments)
+    rows.write.mode("overwrite").partitionBy("var", "segment").parquet(f"{path}/segments")
+    held = df.groupBy("block", "var").agg((F.max("value") - F.min("value")).alias("value_range"), F.count("*").alias("n"))
+    sizes = F.array(*(F.ceil(F.col("n") * approx.segment_bits(i) / 8).cast("bigint") for i in range(segments)))
+    store.write_manifest(held.select("block", "var", F.lit(list(dims)).cast("array<int>").alias("dims"), "value_range", F.lit(segments).alias("num_segments"), F.when(F.col("value_range") > 0, sizes).otherwise(F.array_repeat(F.lit(0).cast("bigint"), segments)).alias("segment_sizes"), "n"), path)
+    return store.read_manifest(df.sparkSession, path)
+
+
+def reconstruct_deltas(spark: SparkSession, path: str, tau: float) -> DataFrame:
+    """(block, var, idx, value) within tau: segments that a variable doesn't need are not read."""
+    manifest = store.read_manifest(spark, path)
+    most = manifest.agg(F.max("num_segments")).first()[0]
+    need = manifest.select("block", "var", approx.segments_needed(F.col("value_range"), F.lit(tau), most).alias("need"))
+    tops = {r["var"]: r["need"] for r in need.groupBy("var").agg(F.max("need").alias("need")).collect()}  # a row for each variable
+    keep = F.lit(False)
+    for var, top in tops.items():
+        keep |= (F.col("var") == var) & (F.col("segment") < max(top, 1))
+    rows = spark.read.parquet(f"{path}/segments").where(keep)
+    return approx.reconstruct_deltas(rows, ["block", "var", "idx"], tau, most)
 
 
 def reconstruct_precision(session: Session, tau: float) -> DataFrame:

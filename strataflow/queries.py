@@ -709,7 +709,7 @@ def qoi_controlled(spark: SparkSession, d: str) -> DataFrame:
     v = velocity(spark, d).withColumn("block", F.lit(0).cast("bigint"))
     spans = v.agg(*((F.max(c) - F.min(c)).alias(c) for c in ("vx", "vy", "vz"))).first().asDict()
     held = {c: materialise(approx.refactor_deltas(v.select("block", "idx", F.col(c).alias("value")), ["block", "idx"], [], approx.RUNGS["parallel"]), f"deltas-{c}") for c in spans}
-    fetch = control.from_snapshots(held, spans, approx.RUNGS["parallel"], deltas=True)
+    fetch = control.Snapshots(held, spans, approx.RUNGS["parallel"], deltas=True)
     out = control.retrieve_speed(fetch, tuple(spans[c] * 0.1 for c in ("vx", "vy", "vz")), 0.001)
     true = v.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias("true"))
     got = out.points.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias("got"))

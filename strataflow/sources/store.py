@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "block long, var string, dims array<int>, levels int, planes int, form string, policy string, level int, max_abs double, exp int, bound double, n long, approximator_eb double"
-DELTA_MANIFEST = "dims array<int>, value_range double, num_segments int, segment_sizes array<bigint>"
-
+from strataflow.operators.fields import offsets
 
 def write_fragments(frags: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Planes in order within files by variable and level, so that a plan reads the head of few files."""
@@ -25,6 +23,27 @@ def write_buckets(frags: DataFrame, buckets: DataFrame, path: str, mode: str = "
     joined.repartition("var", "level", "bucket").sortWithinPartitions("block", "plane").write.mode(mode).partitionBy("var", "level", "bucket").parquet(f"{path}/fragments")
 
 
+def read_buckets(spark: SparkSession, path: str, plan: DataFrame, prev: DataFrame | None = None) -> DataFrame:
+    """The buckets, whole, that hold what a plan takes and an earlier one didn't read: fragments with their bucket.
+
+    The last bucket that any block needs of a variable's level is known to the driver and keeps later ones unread.
+    """
+    frags, by = spark.read.parquet(f"{path}/fragments"), ["block", "var", "level"]
+
+    def last(p: DataFrame, name: str) -> DataFrame:
+        return frags.select(*by, "plane", "bucket").join(p.select(*by, "planes"), by).where("plane < planes").groupBy(*by).agg(F.max("bucket").alias(name))
+
+    need = last(plan, "_last")
+    tops = need.groupBy("var", "level").agg(F.max("_last").alias("last")).collect()  # a row for each variable and level
+    keep = F.lit(False)
+    for r in tops:
+        keep |= (F.col("var") == r["var"]) & (F.col("level") == r["level"]) & (F.col("bucket") <= r["last"])
+    out = frags.where(keep).join(need, by).where("bucket <= _last").drop("_last")
+    if prev is not None:
+        out = out.join(last(prev, "_held"), by, "left").where("bucket > coalesce(_held, -1)").drop("_held")
+    return out
+
+
 def write_manifest(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:
     manifest.write.mode(mode).parquet(f"{path}/manifest")
 
@@ -63,6 +82,20 @@ def missing(wanted: DataFrame, spark: SparkSession, path: str, keys: list[str])
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def write_at_offsets(field: DataFrame, path: str, dtype: str = "float32") -> DataFrame:
+    """(block, offset, body): each block's values as raw bytes, at the byte where the blocks before it end."""
+    size = np.dtype(dtype).itemsize
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        v = table.sort_by("idx").column("value").to_numpy().astype(np.dtype(dtype).newbyteorder("<"))
+        return pa.table({"block": [key[0].as_py()], "body": pa.array([v.tobytes()], pa.binary())})
+
+    starts = offsets(field.groupBy("block").agg((F.count("*") * size).alias("size")), "block", "size").select("block", "offset")
+    bodies = field.select("block", "idx", "value").groupBy("block").applyInArrow(pack, "block long, body binary")
+    bodies.join(starts, "block").select("block", "offset", "body").write.mode("overwrite").parquet(path)
+    return field.sparkSession.read.parquet(path)
+
+
 def read_raw(spark: SparkSession, path: str, dtype: str = "float32") -> DataFrame:
     """(path, idx, value) of raw files of one element type, through Spark's own reader."""
 

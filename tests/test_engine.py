@@ -270,6 +270,182 @@ def test_control_reports(spark):
     assert not control.retrieve_speed(lambda b: fetch((0.5, 0.5, 0.5)), (0.5, 0.5, 0.5), 1e-9, rounds=1).met
 
 
+def _flow(spark, n=60, blocks=1, seed=9):
+    v = np.random.default_rng(seed).normal(size=(blocks, n, 3)) * np.arange(1, blocks + 1)[:, None, None]
+    truth = spark.createDataFrame([(b, i, *map(float, v[b, i])) for b in range(blocks) for i in range(n)], "block long, idx long, vx double, vy double, vz double")
+    return v, truth
+
+
+def test_uncontrolled_points_are_not_met(spark):
+    v, truth = _flow(spark)
+    fetch = lambda b: truth.select("block", "idx", F.when(F.col("idx") != 7, F.col("vx")).alias("vx"), "vy", "vz")
+    out = control.retrieve_speed(fetch, (1e-9,) * 3, 0.01, rounds=3)
+    assert not out.met and out.uncontrolled == 1 and out.estimate <= 0.01 and out.rounds == 3 and out.bytes is None and out.ratio is None
+    assert not control.retrieve_speed(lambda b: truth.select("block", "idx", F.lit(None).cast("double").alias("vx"), "vy", "vz"), (1.0,) * 3, 0.01, rounds=2).met
+
+
+def test_control_over_sessions(spark, tmp_path):
+    v, truth = _flow(spark, 200)
+    sessions = {}
+    for name in ("vx", "vy", "vz"):
+        field = truth.select("block", F.lit(name).alias("var"), "idx", F.col(name).alias("value"))
+        refactor.refactor(field, str(tmp_path / name), refactor.Config(3, 40))
+        sessions[name] = refactor.Session(spark, str(tmp_path / name))
+    out = control.retrieve_speed(control.Sessions(sessions), (0.5,) * 3, 0.001, rounds=8)
+    got = {r.idx: math.sqrt(r.vx**2 + r.vy**2 + r.vz**2) for r in out.points.collect()}
+    gap = max(abs(got[i] - np.linalg.norm(r)) for i, r in enumerate(v[0]))
+    assert out.met and gap <= out.estimate <= 0.001 and out.elements == 200
+    assert out.bytes == sum(s.retrieved().first()["bytes"] for s in sessions.values()) and out.ratio == 200 * 24 / out.bytes and out.bitrate == out.bytes * 8 / 600
+
+
+@pytest.mark.parametrize("deltas", [False, True])
+def test_control_over_snapshots(spark, deltas):
+    v, truth = _flow(spark, 100)
+    spans = {c: float(np.ptp(v[0][:, i])) for i, c in enumerate(("vx", "vy"))}
+    make = approx.refactor_deltas if deltas else approx.snapshots
+    held = {c: make(truth.select("block", "idx", F.col(c).alias("value")), ["block", "idx"], [], 10) for c in spans}
+    fetch = control.Snapshots(held, spans, 10, deltas)
+    out = control.retrieve_speed(fetch, (1.0, 1.0), 1e-4, names=("vx", "vy"), rounds=10)  # two variables will do
+    got = {r.idx: math.hypot(r.vx, r.vy) for r in out.points.collect()}
+    assert out.met and max(abs(got[i] - math.hypot(*r[:2])) for i, r in enumerate(v[0])) <= 1e-4
+    bits = approx.segment_bits if deltas else approx.rung_bits
+    assert out.bytes == sum(-(-100 * bits(i) // 8) for name in spans for i in fetch.read[name]) and len(fetch.read["vx"]) > 1
+
+
+def test_control_of_blocks(spark):
+    v, truth = _flow(spark, 40, blocks=5)
+    truth = truth.withColumn("vz", F.when((F.col("block") != 3) | (F.col("idx") != 2), F.col("vz")))
+    spans = {c: float(np.ptp(v[:, :, i])) for i, c in enumerate(("vx", "vy", "vz"))}
+    held = {c: approx.snapshots(truth.select("block", "idx", F.col(c).alias("value")), ["block", "idx"], [], 10) for c in spans}
+    points, state = control.retrieve_blocks(held, spans, (0.5,) * 3, 0.01, 10, rounds=6)
+    got, told = {(r.block, r.idx): r for r in points.collect()}, {r.block: r for r in state.collect()}
+    assert len(got) == 200 and len(told) == 5
+    for b in range(5):
+        # as each block would be done alone
+        alone = control.Snapshots({c: x.where(F.col("block") == b) for c, x in held.items()}, spans, 10)
+        out = control.retrieve_speed(alone, (0.5,) * 3, 0.01, rounds=6)
+        assert (told[b].met, told[b].rounds, told[b].uncontrolled, told[b].elements) == (out.met, out.rounds, out.uncontrolled, 40) and abs(told[b].estimate - out.estimate) < 1e-12
+        assert told[b].met == (b != 3) and (b == 3 or {i: got[b, i].vx for i in range(40)} == {r.idx: r.vx for r in out.points.collect()})
+
+
+def test_grouped_layout():
+    rng = np.random.default_rng(21)
+    for n in (1, 31, 32, 33, 200):
+        code = rng.integers(0, 1 << rng.integers(1, 13, n))
+        code[40:80] = 0  # a group without a one
+        sign = rng.random(n) < 0.5
+        bodies = encode.pack_groups(code, sign, 12)
+        got, signs = encode.unpack_groups(bodies, n, 12)
+        assert (got == code).all() and (signs == (sign & (code > 0))).all()
+        part, some = encode.unpack_groups(bodies[:5], n, 12)
+        assert (part == code >> 7 << 7).all()
+        rest, signs = encode.unpack_groups(bodies[5:], n, 12, 5, part, some)
+        assert (rest == code).all() and (signs == (sign & (code > 0))).all()
+    small = rng.integers(0, 16, 3200)
+    assert len(encode.pack_groups(small, small > 8, 12)[3]) < 3200 // 8 / 4  # no words before a group's first plane
+
+
+def test_predictors(spark):
+    v = np.cumsum(np.random.default_rng(22).normal(size=120))
+    rows = line(spark, v).unionByName(line(spark, v[::-1] * 2, 1)).withColumn("bound0", F.lit(0.01))
+    for coded, back in [(approx.predict_lines(rows, ["block"]), approx.unpredict_lines), (approx.predict_boxes(rows, ["block"], [4, 5, 6]), lambda c, by: approx.unpredict_boxes(c, by, [4, 5, 6]))]:
+        got = back(coded.select("block", "idx", "code", "bound0"), ["block"]).join(rows.select("block", "idx", "value"), ["block", "idx"]).collect()
+        assert len(got) == 240 and all(abs(r.base - r.value) <= 0.01 + 1e-9 for r in got)
+    smooth = approx.predict_lines(rows, ["block"]).agg(F.avg(F.abs("code"))).first()[0]
+    assert smooth < rows.agg(F.avg(F.abs(approx.quantise(F.col("value"), F.col("bound0"))))).first()[0]
+
+
+def test_delta_store(spark, tmp_path):
+    v = np.random.default_rng(23).uniform(-4, 4, 90)
+    field = line(spark, v).withColumn("var", F.lit("u")).unionByName(line(spark, [2.0] * 9, 1).withColumn("var", F.lit("w")))
+    manifest = refactor.refactor_deltas(field, str(tmp_path / "d"), 16, (90,))
+    rows = {r["var"]: r for r in manifest.collect()}
+    assert rows["u"].num_segments == 16 and list(rows["u"].dims) == [90] and rows["u"].segment_sizes[:2] == [-(-90 * 3 // 8), 45] and not any(rows["w"].segment_sizes)
+    for tau in (100.0, 0.5, 1e-9):
+        got = {(r["var"], r.idx): r.value for r in refactor.reconstruct_deltas(spark, str(tmp_path / "d"), tau).collect()}
+        assert len(got) == 99 and all(abs(got["u", i] - x) <= tau * (1 + 1e-6) for i, x in enumerate(v))
+
+
+def test_buckets(spark, tmp_path):
+    field = line(spark, np.cumsum(np.random.default_rng(24).normal(size=300))).withColumn("var", F.lit("u"))
+    refactor.refactor(field, str(tmp_path / "s"), refactor.Config(2, 16))
+    frags = spark.read.parquet(str(tmp_path / "s" / "fragments"))
+    buckets = planner.merge_small(frags.select("block", "var", "level", "plane", "size"), ["block", "var"], 60)
+    store.write_buckets(frags, buckets, str(tmp_path / "b"))
+    of = {(r.level, r.plane): r.bucket for r in buckets.collect()}
+    plan = lambda *n: spark.createDataFrame([(0, "u", i, x) for i, x in enumerate(n)], "block long, var string, level int, planes int")
+    first = {(r.level, r.plane) for r in store.read_buckets(spark, str(tmp_path / "b"), plan(3, 1, 0)).collect()}
+    assert first == {(k, p) for (k, p), b in of.items() if k < 2 and b <= of[k, (3, 1)[k] - 1]}
+    more = {(r.level, r.plane) for r in store.read_buckets(spark, str(tmp_path / "b"), plan(9, 1, 5), plan(3, 1, 0)).collect()}
+    assert more == {(k, p) for (k, p), b in of.items() if (k == 0 and of[0, 2] < b <= of[0, 8]) or (k == 2 and b <= of[2, 4])}
+
+
+def test_write_at_offsets(spark, tmp_path):
+    field = line(spark, [1, 2, 3], 4).unionByName(line(spark, [7, 8], 9)).unionByName(line(spark, [5], 2))
+    got = store.write_at_offsets(field, str(tmp_path / "o")).orderBy("offset").collect()
+    assert [(r.block, r.offset) for r in got] == [(2, 0), (4, 4), (9, 16)]
+    assert np.frombuffer(b"".join(bytes(r.body) for r in got), "<f4").tolist() == [5, 1, 2, 3, 7, 8]
+
+
+def test_precision_manifest(spark, tmp_path):
+    field = line(spark, np.linspace(0, 8, 50)).withColumn("var", F.lit("u"))
+    manifest = refactor.refactor_precision(field, str(tmp_path / "p"), refactor.Config(0, 20)).first()
+    assert abs(manifest.approximator_eb - 0.008) < 1e-12
+
+
+def test_lines_have_a_level_cap(spark, tmp_path):
+    with pytest.raises(ValueError):
+        refactor.refactor(line(spark, range(9)).withColumn("var", F.lit("u")), str(tmp_path / "s"), refactor.Config(5, 8))
+    assert not (tmp_path / "s").exists()
+
+
+def _runs_plan(levels, tau, err):
+    """Step by step: of all runs of next planes of a level the one with the best mean gain per byte."""
+    at = dict.fromkeys(levels, 0)
+    while err >= tau:
+        best = None
+        for k in sorted(levels):
+            for n in range(1, len(levels[k]) - at[k] + 1):
+                run = levels[k][at[k] : at[k] + n]
+                rate = sum(g for g, _ in run) / sum(s for _, s in run)
+                if best is None or rate > best[0] + 1e-12:
+                    best = rate, k, n
+        if best is None:
+            break
+        _, k, n = best
+        err -= sum(g for g, _ in levels[k][at[k] : at[k] + n])
+        at[k] += n
+    return at
+
+
+def test_greedy_runs_by_brute_force(spark):
+    rng = random.Random(25)
+    rows, want = [], {}
+    for case in range(20):
+        levels = {k: [(rng.uniform(0.1, 9), rng.randint(1, 50)) for _ in range(7)] for k in range(3)}
+        err = sum(g for v in levels.values() for g, _ in v)
+        want[case] = _runs_plan(levels, err / 4, err)
+        rows += [(case, k, p, s, g, err) for k, v in levels.items() for p, (g, s) in enumerate(v)]
+    df = spark.createDataFrame([(*r[:4], r[4] / (r[5] / 4), 4.0) for r in rows], "block int, level int, plane int, size int, gain double, err0 double")
+    got = planner.greedy_runs(df, 1.0, ["block"]).collect()
+    assert len(got) == 60 and all(want[r.block][r.level] == r.planes for r in got)
+
+
+def test_aligned_rmsf(spark):
+    rng = np.random.default_rng(26)
+    ref, rows, want = rng.normal(size=(12, 3)) * 4, [], []
+    for f in range(6):
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn *= np.sign(np.linalg.det(turn))
+        p = ref.copy()
+        p[8:] += rng.normal(size=(4, 3))  # the rest moves, the selection doesn't
+        rows += [(f, i, *map(float, x @ turn + f)) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "frame int, atom int, x double, y double, z double")
+    picks = {"stiff": spark.range(8).withColumnRenamed("id", "atom"), "all": spark.range(12).withColumnRenamed("id", "atom")}
+    got = {(r.selection, r.atom): r.rmsf for r in trajectory.aligned_rmsf(df, picks).collect()}
+    assert len(got) == 20 and all(got["stiff", i] < 1e-9 for i in range(8)) and min(got["all", i] for i in range(8, 12)) > 0.05
+
+
 def test_contacts(spark):
     rng = np.random.default_rng(10)
     rows = [(f, a, *map(float, rng.uniform(0, 40, 3))) for f in range(2) for a in range(60)] + [(5, 0, 0.0, 0.0, 0.0), (5, 1, 10.0, 0.0, 0.0), (5, 2, 9.99, 0.0, 0.0)]
