@@ -14,9 +14,17 @@ from strataflow.functions.grid import unflatten
 BASE_SHARE, SEGMENTS, RUNGS = 0.001, {"float": 7, "double": 16}, {"serial": 18, "parallel": 10}
 
 
+#: Fixed value: from here on doubles are more than 1 apart, or just that.
+WHOLE = float(1 << 53)
+
+
 def quantise(v: Column, bound: Column) -> Column:
-    """The number of the cell, of width twice the bound, that a value lies in. A bound of 0 has no cells: null."""
-    return F.floor(v / F.when(bound > 0, bound * 2) + 0.5).cast("bigint")
+    """The number of the cell, of width twice the bound, that a value lies in.
+
+    Null where there are no cells, as the bound is 0, or so small that doubles of the value's size can't tell cells apart.
+    """
+    cell = v / F.when(bound > 0, bound * 2)
+    return F.floor(F.when(F.abs(cell) < WHOLE, cell) + 0.5).cast("bigint")
 
 
 def restore(cell: Column, bound: Column) -> Column:
@@ -24,7 +32,7 @@ def restore(cell: Column, bound: Column) -> Column:
 
 
 def approximate(v: Column, bound: Column) -> Column:
-    """The cell's middle, within the bound of the value but for rounding; the value itself where the bound is 0."""
+    """The cell's middle, within the bound of the value but for rounding; the value itself where there are no cells."""
     return F.coalesce(restore(quantise(v, bound), bound), v)
 
 

@@ -11,6 +11,7 @@ from strataflow.functions import bitplane, errors, qoi
 from strataflow.operators import approx, encode, fields, trajectory, transform
 from strataflow.plans import control, planner, refactor
 from strataflow.session import materialise, read_table, shared_path, ship_package
+from strataflow.sources import store
 from strataflow.streaming import steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,10 +219,12 @@ def hier_decompose(spark: SparkSession, d: str) -> DataFrame:
     return transform.decompose(orders(spark, d), LEVELS).select("block", "idx", "level", "value")
 
 
-@query(_ORD + " SELECT block, idx, level, round(value, 4) AS value FROM l")
+@query(_ORD + f" SELECT l.block, l.idx, l.level, round(CASE WHEN l.level = {LEVELS} THEN l.value + k.value ELSE l.value END, 4) AS value FROM l JOIN k USING (block, idx)")
 def hier_recompose(spark: SparkSession, d: str) -> DataFrame:
-    """There and back; the values as they were, but for rounding."""
-    back = transform.recompose(transform.decompose(orders(spark, d), LEVELS), LEVELS)
+    """Back from coefficients of which the finest are doubled: the values, and there what the coefficient adds."""
+    there = transform.decompose(orders(spark, d), LEVELS)
+    twice = there.withColumn("value", F.col("value") * F.when(F.col("level") == LEVELS, 2.0).otherwise(1.0))
+    back = transform.recompose(twice, LEVELS)
     return back.select("block", "idx", "level", F.round("value", 4).alias("value"))
 
 
@@ -251,18 +254,39 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.floor(F.col("idx") / 125).cast("bigint").alias("block"), (F.col("idx") % 125).alias("idx"), "value")
 
 
-@query("SELECT CAST(event_id // 125 AS BIGINT) AS block, event_id % 125 AS idx, round(value, 4) AS value FROM events")
+def _near(c: str) -> str:
+    return f"(b.{c} % 2 = 0 AND o.{c} = b.{c} OR b.{c} % 2 = 1 AND abs(o.{c} - b.{c}) = 1)"
+
+
+@query(f"""WITH b AS (SELECT CAST(event_id // 125 AS BIGINT) AS block, event_id % 125 AS idx, value, (event_id % 125) // 25 AS i, (event_id % 25) // 5 AS j, event_id % 5 AS k FROM events),
+ w AS (SELECT b.block, b.idx, coalesce(sum(o.value), 0.0) / pow(2, any_value(b.i % 2 + b.j % 2 + b.k % 2)) AS mean FROM b LEFT JOIN b o ON b.block = o.block AND {_near('i')} AND {_near('j')} AND {_near('k')} GROUP BY 1, 2)
+ SELECT block, idx, round(CASE WHEN i % 2 + j % 2 + k % 2 = 0 THEN value ELSE value - mean END, 8) AS coefficient, round(value, 4) AS value FROM b JOIN w USING (block, idx)""")
 def box_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of 5 x 5 x 5 in the hierarchical basis, there and back."""
-    ship_package(spark)
+    """Boxes of 5 x 5 x 5 in the hierarchical basis: coefficients, and the values back from them."""
     there = transform.transform_blocks(_boxes(spark, d), [5, 5, 5], 1)
-    return transform.transform_blocks(there, [5, 5, 5], 1, inverse=True).select("block", "idx", F.round("value", 4).alias("value"))
+    back = transform.transform_blocks(there, [5, 5, 5], 1, inverse=True)
+    both = there.select("block", "idx", F.round("value", 8).alias("coefficient"))
+    return both.join(back.select("block", "idx", F.round("value", 4).alias("value")), ["block", "idx"])
 
 
-@query("SELECT CAST(event_id // 125 AS BIGINT) AS block, event_id % 125 AS idx, round(value, 4) AS value FROM events")
+_LINE = "".join(f", coalesce(max(value) FILTER (event_id % 5 = {i}), 0.0) AS v{i}" for i in range(5))
+
+
+@query(f"""WITH p AS (SELECT CAST(event_id // 5 AS BIGINT) AS block{_LINE} FROM events GROUP BY 1), c AS (SELECT *, v1 - (v0 + v2) / 2 AS c1, v3 - (v2 + v4) / 2 AS c3 FROM p),
+ o AS (SELECT block, [v0 + 0.5 * (7 * c1 / 4 - 2 * (c1 + c3) / 4 + c3 / 4), c1, v2 + 0.5 * (4 * (c1 + c3) / 4 - 2 * c1 / 4 - 2 * c3 / 4), c3, v4 + 0.5 * (c1 / 4 - 2 * (c1 + c3) / 4 + 7 * c3 / 4)] AS x FROM c)
+ SELECT block, event_id % 5 AS idx, round(x[event_id % 5 + 1], 8) AS coefficient, round(value, 4) AS value FROM events JOIN o ON block = event_id // 5""")
 def orthogonal_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of 125 in the orthogonal basis, there and back."""
-    ship_package(spark)
+    """Lines of 5 in the orthogonal basis: coefficients, and the values back from them."""
+    field = events(spark, d).select(F.floor(F.col("idx") / 5).cast("bigint").alias("block"), (F.col("idx") % 5).alias("idx"), "value")
+    there = transform.transform_blocks(field, [5], 1, "orthogonal")
+    back = transform.transform_blocks(there, [5], 1, "orthogonal", inverse=True)
+    both = there.select("block", "idx", F.round("value", 8).alias("coefficient"))
+    return both.join(back.select("block", "idx", F.round("value", 4).alias("value")), ["block", "idx"])
+
+
+@query("SELECT CAST(event_id // 125 AS BIGINT) AS block, event_id % 125 AS idx, round(value, 4) AS value FROM events")
+def orthogonal_there_and_back(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of 125 on five levels in the orthogonal basis, there and back."""
     there = transform.transform_blocks(_boxes(spark, d), [125], 4, "orthogonal")
     return transform.transform_blocks(there, [125], 4, "orthogonal", inverse=True).select("block", "idx", F.round("value", 4).alias("value"))
 
@@ -365,6 +389,63 @@ def squared_error_by_plane(spark: SparkSession, d: str) -> DataFrame:
     return out.select("taken", F.round("squared_error", 2).alias("squared_error"))
 
 
+_NB_ANY = f"CAST({_unnb('((code >> CAST(32 - b AS INTEGER)) << CAST(32 - b AS INTEGER))')} AS DOUBLE) * pow(2.0, e + 2 - {PLANES})"
+
+
+@query(_nb(2, 1) + f" SELECT CAST(b AS INTEGER) AS taken, round(sum((value - {_NB_ANY}) * (value - {_NB_ANY})), 1) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY b")
+def squared_error_negabinary(spark: SparkSession, d: str) -> DataFrame:
+    out = encode.squared_errors(coded_events(spark, d, "negabinary"), ["level"], PLANES, "negabinary")
+    return out.select("taken", F.round("squared_error", 1).alias("squared_error"))
+
+
+@query(_PB + f" SELECT CAST(idx // 32 AS BIGINT) AS grp, CAST(b AS INTEGER) AS taken, round(sum((value - {_PB_ANY}) * (value - {_PB_ANY})), 3) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY 1, 2")
+def squared_error_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Of each group of 32 elements."""
+    rows = coded_events(spark, d, "grouped").withColumn("grp", F.floor(F.col("idx") / 32).cast("bigint"))
+    return encode.squared_errors(rows, ["grp"], PLANES, "grouped").select("grp", "taken", F.round("squared_error", 3).alias("squared_error"))
+
+
+def _packed(spark: SparkSession, d: str, form: str) -> DataFrame:
+    """Events in blocks, coded with the whole field's exponent."""
+    block = F.floor(F.col("idx") / BLOCK).cast("bigint")
+    return coded_events(spark, d, form).select(block.alias("block"), F.lit("value").alias("var"), "level", (F.col("idx") % BLOCK).alias("pos"), "code", "sign", "exp")
+
+
+def _from_codes(codes: DataFrame, packed: DataFrame, taken: int, form: str) -> DataFrame:
+    exp = packed.select("block", "var", "level", "exp").distinct()
+    value = bitplane.decode(F.col("code"), F.col("sign"), F.col("exp"), PLANES, taken, form)
+    return codes.join(exp, ["block", "var", "level"]).select((F.col("block") * BLOCK + F.col("pos")).alias("idx"), value.alias("decoded"))
+
+
+@query(_PB + f" SELECT idx, {_pb_value(20)} AS decoded FROM c")
+def grouped_progressive(spark: SparkSession, d: str) -> DataFrame:
+    """The grouped layout, packed and compressed; the first 7 planes, then 13 more on top of them."""
+    ship_package(spark)
+    packed = _packed(spark, d, "grouped")
+    frags = materialise(encode.fragments(packed, PLANES, "grouped"), "grouped")
+    first = encode.unpack(frags.where("plane < 7"), PLANES, "grouped")
+    return _from_codes(encode.unpack(frags.where("plane >= 7 and plane < 20"), PLANES, "grouped", first), packed, 20, "grouped")
+
+
+def _group_bytes() -> str:
+    """A plane's bytes: a bit for each group not begun before, and a word for each that begins, and for each begun by then."""
+    return f""", g AS (SELECT idx // {BLOCK} AS block, (idx % {BLOCK}) // 32 AS grp, min({_FIRST}) AS start FROM c GROUP BY 1, 2)
+ SELECT CAST(block AS BIGINT) AS block, CAST(p AS INTEGER) AS plane, CAST(ceil(count(*) FILTER (start >= p) / 8) + 4 * count(*) FILTER (start = p) + 4 * count(*) FILTER (start <= p) AS BIGINT) AS raw_size FROM g, range(0, {PLANES}) r(p) GROUP BY 1, 2"""
+
+
+@query(_PB + _group_bytes())
+def grouped_plane_sizes(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
+    return encode.fragments(_packed(spark, d, "grouped"), PLANES, "grouped", "none").select("block", "plane", "raw_size")
+
+
+@query(_nb(3, 2) + f" SELECT idx, (CAST({_unnb('((code >> 16) << 16)')} AS DOUBLE) - CAST({_unnb('((code >> 26) << 26)')} AS DOUBLE)) * pow(2.0, e + 3 - {PLANES}) / 2 AS delta FROM c")
+def weighted_delta(spark: SparkSession, d: str) -> DataFrame:
+    """What planes 6 to 15 of the weighted form add."""
+    rows = coded_events(spark, d, "weighted_negabinary")
+    return rows.select("idx", bitplane.delta(F.col("code"), F.col("sign"), F.col("exp"), PLANES, 6, 16, "weighted_negabinary").alias("delta"))
+
+
 # ---- errors and plans ----
 
 
@@ -506,6 +587,41 @@ def snapshot_ladder(spark: SparkSession, d: str) -> DataFrame:
     return approx.snapshots(parts(spark, d), ["idx"], [], approx.RUNGS["parallel"])
 
 
+@query(_chain(16) + " " + " UNION ALL ".join(f"SELECT idx, CAST({i} AS INTEGER) AS segment, q AS value FROM r{i + 1}" for i in range(16)))
+def delta_segments_double(spark: SparkSession, d: str) -> DataFrame:
+    return approx.refactor_deltas(parts(spark, d), ["idx"], [], approx.SEGMENTS["double"]).select("idx", "segment", "value")
+
+
+@query(_PT + ", c AS (SELECT idx, value, CAST(i AS INTEGER) AS snapshot, span / (CASE i " + " ".join(f"WHEN {i} THEN {float(10 ** (i + 1))!r}::DOUBLE" for i in range(18)) + " END) AS e FROM pt, sp, range(0, 18) r(i)) SELECT idx, snapshot, CASE WHEN abs(value / (e * 2)) < pow(2.0, 53) THEN floor(value / (e * 2) + 0.5) * (e * 2) ELSE value END AS value FROM c")
+def snapshot_ladder_serial(spark: SparkSession, d: str) -> DataFrame:
+    return approx.snapshots(parts(spark, d), ["idx"], [], approx.RUNGS["serial"])
+
+
+@query("SELECT p_partkey AS idx, 0.0::DOUBLE AS base, p_retailprice AS residual FROM part")
+def approximate_by_nothing(spark: SparkSession, d: str) -> DataFrame:
+    base = approx.nothing(F.col("value"))
+    return parts(spark, d).select("idx", base.alias("base"), (F.col("value") - base).alias("residual"))
+
+
+@query(f"WITH o AS (SELECT CAST(o_orderkey // {BLOCK} AS BIGINT) AS block, o_orderkey % {BLOCK} AS idx, CAST(floor(o_totalprice / (0.5::DOUBLE * 2) + 0.5) AS BIGINT) AS cell FROM orders) SELECT block, idx, CAST(cell - coalesce(lag(cell) OVER (PARTITION BY block ORDER BY idx), 0) AS BIGINT) AS code, cell * 1.0::DOUBLE AS base FROM o")
+def predicted_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Cells' differences along lines, and the approximation back from them."""
+    coded = approx.predict_lines(orders(spark, d).withColumn("bound0", F.lit(0.5)), ["block"])
+    return approx.unpredict_lines(coded.select("block", "idx", "code", "bound0"), ["block"]).select("block", "idx", "code", "base")
+
+
+_DIFF = lambda c, of, rest: f"CAST({of} - coalesce(lag({of}) OVER (PARTITION BY block, {rest} ORDER BY {c}), 0) AS BIGINT)"
+
+
+@query(f"""WITH b AS (SELECT CAST(event_id // 125 AS BIGINT) AS block, event_id % 125 AS idx, (event_id % 125) // 25 AS i, (event_id % 25) // 5 AS j, event_id % 5 AS k, CAST(floor(value / (0.25::DOUBLE * 2) + 0.5) AS BIGINT) AS cell FROM events),
+ x AS (SELECT *, {_DIFF('i', 'cell', 'j, k')} AS d1 FROM b), y AS (SELECT *, {_DIFF('j', 'd1', 'i, k')} AS d2 FROM x), z AS (SELECT *, {_DIFF('k', 'd2', 'i, j')} AS code FROM y)
+ SELECT block, idx, code, cell * 0.5::DOUBLE AS base FROM z""")
+def predicted_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The same in boxes of 5 x 5 x 5, along all axes."""
+    coded = approx.predict_boxes(_boxes(spark, d).withColumn("bound0", F.lit(0.25)), ["block"], [5, 5, 5])
+    return approx.unpredict_boxes(coded.select("block", "idx", "code", "bound0"), ["block"], [5, 5, 5]).select("block", "idx", "code", "base")
+
+
 @query("WITH q AS (SELECT event_id AS idx, value / 100000.0::DOUBLE AS relative FROM events) SELECT idx, relative, CAST(CASE " + " ".join(f"WHEN relative >= 1e-{i + 1}::DOUBLE THEN {i}" for i in range(17)) + " ELSE 17 END AS INTEGER) AS snapshot FROM q")
 def snapshot_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("idx", (F.col("value") / 100000.0).alias("relative"))
@@ -641,15 +757,34 @@ def contact_map_sims(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.contact_map(atoms(spark, d).withColumn("sim", F.col("frame") % 3), 0.5, sims=True).select("sim", "a", "b", "hits")
 
 
-@query("SELECT vec_id AS frame, CAST(k AS BIGINT) AS atom, true AS nearer FROM embeddings, range(0, 21) r(k)")
+def _least_rmsd() -> str:
+    """The least RMSD by superposition, from the largest root of the key matrix's characteristic polynomial, by Newton's steps."""
+    axes = [(p, q) for p in "xyz" for q in "xyz"]
+    sql = _AT + ", m AS (SELECT frame, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM a GROUP BY frame), c AS (SELECT frame, atom, x - mx AS x, y - my AS y, z - mz AS z FROM a JOIN m USING (frame)), r0 AS (SELECT atom, x AS rx, y AS ry, z AS rz FROM c WHERE frame = 0)"
+    sql += ", s AS (SELECT frame, count(*) AS n, (sum(x * x + y * y + z * z) + sum(rx * rx + ry * ry + rz * rz)) / 2 AS e0, " + ", ".join(f"sum({p} * r{q}) AS {p}{q}" for p, q in axes) + " FROM c JOIN r0 USING (atom) GROUP BY frame)"
+    square = [[" + ".join(f"{k}{i} * {k}{j}" for k in "xyz") for j in "xyz"] for i in "xyz"]
+    trace, trace2 = " + ".join(f"({square[i][i]})" for i in range(3)), " + ".join(f"({square[i][j]}) * ({square[i][j]})" for i in range(3) for j in range(3))
+    sql += f", k AS (SELECT frame, n, e0, -2 * ({trace}) AS c2, -8 * (xx * (yy * zz - yz * zy) - xy * (yx * zz - yz * zx) + xz * (yx * zy - yy * zx)) AS c1, 2 * ({trace2}) - ({trace}) * ({trace}) AS c0 FROM s), l0 AS (SELECT *, e0 AS l FROM k)"
+    for i in range(40):
+        sql += f", l{i + 1} AS (SELECT frame, n, e0, c2, c1, c0, CASE WHEN 4 * l * l * l + 2 * c2 * l + c1 = 0 THEN l ELSE l - (l * l * l * l + c2 * l * l + c1 * l + c0) / (4 * l * l * l + 2 * c2 * l + c1) END AS l FROM l{i})"
+    return sql + ", d AS (SELECT frame, sqrt(greatest(0, 2 * (e0 - l) / n)) AS rmsd FROM l40)"
+
+
+@query(_least_rmsd() + ", b AS (SELECT frame, sqrt(avg((x - rx) * (x - rx) + (y - ry) * (y - ry) + (z - rz) * (z - rz))) AS before FROM a JOIN (SELECT atom, x AS rx, y AS ry, z AS rz FROM a WHERE frame = 0) USING (atom) GROUP BY frame) SELECT frame, round(before, 5) AS before, round(rmsd, 5) AS after FROM d JOIN b USING (frame)")
 def align_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames superposed on frame 0; no frame is farther from it for that."""
-    ship_package(spark)
+    """Frames superposed on frame 0: distances from it before and after, the latter the least that there is."""
     rows = atoms(spark, d)
     first = rows.where("frame = 0")
-    after = trajectory.align(rows, first)
-    both = trajectory.rmsd(rows, first).select("frame", F.col("rmsd").alias("before")).join(trajectory.rmsd(after, first).select("frame", F.col("rmsd").alias("after")), "frame")
-    return trajectory.with_coordinates(rows, after).join(both, "frame").select("frame", "atom", (F.col("after") <= F.col("before") + 1e-9).alias("nearer"))
+    after = trajectory.with_coordinates(rows, trajectory.align(rows, first))
+    told = trajectory.rmsd(rows, first).select("frame", F.round("rmsd", 5).alias("before"))
+    return told.join(trajectory.rmsd(after, first).select("frame", F.round("rmsd", 5).alias("after")), "frame")
+
+
+@query()
+def rmsf_by_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Fluctuations of two selections, each after superposition by its own atoms; tests compare with what must come out."""
+    picks = {name: spark.range(21).where(F.col("id") % 2 == k).withColumnRenamed("id", "atom") for k, name in enumerate(("even", "odd"))}
+    return trajectory.aligned_rmsf(atoms(spark, d), picks).withColumn("rmsf", F.round("rmsf", 6))
 
 
 # ---- the store, progressive reading, controlled reading, streams ----
@@ -659,61 +794,213 @@ def _order_field(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).withColumn("var", F.lit("price"))
 
 
-@query(f"SELECT CAST(o_orderkey // {BLOCK} AS BIGINT) AS block, o_orderkey % {BLOCK} AS idx, true AS within_64, true AS within_1 FROM orders")
+def _negabinary_ladder() -> str:
+    """Codes and in-order plans of the orders' coefficients, to 64 and to 1."""
+    err = f"CASE WHEN max_abs = 0 THEN 0.0 WHEN {{b}} = 0 THEN max_abs * 4 ELSE pow(2.0, e + 2 - {{b}}) END"
+    lad = _BND + f""", g AS (SELECT block, level, CAST(p AS INTEGER) AS plane, ({err.format(b='p')}) - ({err.format(b='(p + 1)')}) AS gain FROM b, range(0, {PLANES}) r(p)),
+ t AS (SELECT block, sum(max_abs * 4) AS err0 FROM b GROUP BY block), w AS (SELECT g.*, err0 - coalesce(sum(gain) OVER (PARTITION BY block ORDER BY level, plane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g JOIN t USING (block)),
+ n AS (SELECT block, level, CAST(count(*) FILTER (rest >= 64.0) AS INTEGER) AS n64, CAST(count(*) FILTER (rest >= 1.0) AS INTEGER) AS n1 FROM w GROUP BY block, level)"""
+    cut = lambda n: f"CAST({_unnb(f'((code >> ({PLANES} - {n})) << ({PLANES} - {n}))')} AS DOUBLE) * pow(2.0, e + 2 - {PLANES})"
+    lad += f", f AS (SELECT k.block, k.idx, k.level, l.n, l.tz, b.e, n64, n1, xor(CAST(trunc(k.value * pow(2.0, {PLANES} - b.e - 2)) AS BIGINT) + {_NEG}, {_NEG}) AS code FROM k JOIN l USING (block, idx) JOIN b ON b.block = k.block AND b.level = k.level JOIN n ON n.block = k.block AND n.level = k.level)"
+    lad += f", c0 AS (SELECT block, idx, level, n, tz, {cut('n64')} AS a64, {cut('n1')} AS a1 FROM f), d0 AS (SELECT block, idx, a64, a1 FROM c0 WHERE level = 0)"
+    for i in range(1, LEVELS + 1):
+        lad += f", d{i} AS (SELECT * FROM d{i - 1} UNION ALL SELECT c.block, c.idx, c.a64 + (x.a64 + y.a64) / 2, c.a1 + (x.a1 + y.a1) / 2 FROM c0 c JOIN d{i - 1} x ON x.block = c.block AND x.idx = c.idx - c.tz JOIN d{i - 1} y ON y.block = c.block AND y.idx = least(c.idx + c.tz, c.n - 1) WHERE c.level = {i})"
+    return lad
+
+
+@query(_negabinary_ladder() + f" SELECT block, idx, a64 AS v64, a1 AS v1 FROM d{LEVELS}")
 def store_progressive(spark: SparkSession, d: str) -> DataFrame:
-    """Written as fragments, read to 64 and then on to 1: every value is within what was asked."""
+    """Written as fragments, read to 64 and then on to 1 with what was read before: the values of both answers."""
     path = shared_path(spark, "store")
-    field = _order_field(spark, d)
-    refactor.refactor(field, path, refactor.Config(LEVELS, PLANES, "negabinary"))
-    session = refactor.Session(spark, path)
+    refactor.refactor(_order_field(spark, d), path, refactor.Config(LEVELS, PLANES, "negabinary"))
+    session = refactor.Session(spark, path, "in_order")
     first = session.reconstruct(64.0).select("block", "idx", F.col("value").alias("v64"))
     then = session.reconstruct(1.0).select("block", "idx", F.col("value").alias("v1"))
-    both = field.join(first, ["block", "idx"]).join(then, ["block", "idx"])
-    return both.select("block", "idx", (F.abs(F.col("value") - F.col("v64")) <= 64).alias("within_64"), (F.abs(F.col("value") - F.col("v1")) <= 1).alias("within_1"))
+    return first.join(then, ["block", "idx"])
+
+
+@query(_negabinary_ladder() + f", u AS (SELECT level, n64, n1, CAST(ceil(b.n / 8) AS BIGINT) AS size FROM n JOIN b USING (block, level)) SELECT CAST(sum(n64) AS BIGINT) AS planes64, CAST(sum(n64 * size) AS BIGINT) AS bytes64, CAST(sum(n1) AS BIGINT) AS planes1, CAST(sum(n1 * size) AS BIGINT) AS bytes1 FROM u")
+def store_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Planes and bytes of both answers, of planes that aren't compressed."""
+    path = shared_path(spark, "store")
+    refactor.refactor(_order_field(spark, d), path, refactor.Config(LEVELS, PLANES, "negabinary", policy="none"))
+    session = refactor.Session(spark, path, "in_order")
+    told = []
+    for tau in (64.0, 1.0):
+        session.coefficients(tau)
+        told.append(session.retrieved().agg(F.sum("planes").alias(f"planes{tau:g}"), F.sum("bytes").alias(f"bytes{tau:g}")))
+    return told[0].join(told[1])  # a row each
+
+
+_LEAST = 300
+
+
+@query(_negabinary_ladder() + f""", z AS (SELECT n.block, n.level, n1, CAST(ceil(b.n / 8) AS BIGINT) AS size FROM n JOIN b USING (block, level)), m AS (SELECT *, CAST(ceil({_LEAST} / size) AS BIGINT) AS each FROM z)
+ SELECT block, level, CAST(least({PLANES}, ((n1 - 1) // each + 1) * each) AS BIGINT) AS planes, CAST((n1 - 1) // each + 1 AS BIGINT) AS buckets FROM m WHERE n1 > 0""")
+def store_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Planes merged into buckets of 300 bytes at least: what is read, in whole buckets, for an error of 1."""
+    path = shared_path(spark, "store")
+    refactor.refactor(_order_field(spark, d), path, refactor.Config(LEVELS, PLANES, "negabinary", policy="none"))
+    frags = spark.read.parquet(f"{path}/fragments")
+    merged = shared_path(spark, "buckets")
+    store.write_buckets(frags, planner.merge_small(frags.select("block", "var", "level", "plane", "size"), ["block", "var"], _LEAST), merged)
+    plan = refactor.Session(spark, path, "in_order").plan_for(1.0)
+    return store.read_buckets(spark, merged, plan).groupBy("block", "level").agg(F.count("*").alias("planes"), F.count_distinct("bucket").alias("buckets"))
+
+
+@query(f"WITH o AS (SELECT CAST(o_orderkey // {BLOCK} AS BIGINT) AS block, count(*) AS n FROM orders GROUP BY 1) SELECT block, CAST(n * 4 AS BIGINT) AS size, CAST(coalesce(sum(n * 4) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM o")
+def write_at_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Each block's raw bytes, written where those of the blocks before it end."""
+    ship_package(spark)
+    return store.write_at_offsets(orders(spark, d), shared_path(spark, "at-offsets")).select("block", F.octet_length("body").cast("bigint").alias("size"), "offset")
+
+
+@query("SELECT event_id // 1000 AS run, CAST(min(event_id) * 8 AS BIGINT) AS first, CAST(count(*) * 8 AS BIGINT) AS size FROM events GROUP BY 1")
+def raw_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A field as runs of raw doubles."""
+    ship_package(spark)
+    path = shared_path(spark, "raw")
+    store.write_raw(events(spark, d), path, "float64", 1000)
+    return spark.read.parquet(path).select("run", "first", F.octet_length("body").cast("bigint").alias("size"))
+
+
+@query("SELECT c_custkey AS sim FROM customer WHERE c_custkey % 3 <> 0")
+def missing_results(spark: SparkSession, d: str) -> DataFrame:
+    """The customers for whom no result is stored."""
+    path, wanted = shared_path(spark, "results"), read_table(spark, d, "customer").select(F.col("c_custkey").alias("sim"))
+    wanted.where("sim % 3 = 0").withColumn("result", F.lit(1.0)).write.parquet(path)
+    return store.missing(wanted, spark, path, ["sim"])
+
+
+@query("SELECT split_part(n_name, ' ', 1) AS sim FROM nation")
+def simulation_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names out of a text file, one a line with other words behind it, and empty lines between."""
+    path = shared_path(spark, "names")
+    names = read_table(spark, d, "nation")
+    lines = names.select(F.concat(F.lit("  "), "n_name", F.lit(" of the list")).alias("value")).unionByName(names.select(F.lit("").alias("value")))
+    lines.write.text(path)
+    return store.read_names(spark, path)
+
+
+@query("WITH v AS (SELECT vec_id, unnest(['velocity_x', 'velocity_y', 'velocity_z']) AS var, unnest([CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)]) AS value FROM embeddings WHERE vec_id % 10 <> 0) SELECT var, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY var")
+def profile_masked(spark: SparkSession, d: str) -> DataFrame:
+    """A profile's variables, refactored without the points that have no velocity."""
+    rows = velocity(spark, d).select(F.lit(0).cast("bigint").alias("block"), "idx", *(F.when(F.col("idx") % 10 != 0, F.col(c)).otherwise(0.0).alias(f"velocity_{c[1]}") for c in ("vx", "vy", "vz")))
+    return refactor.refactor_profile(rows, shared_path(spark, "profile"), "velocity").groupBy("var").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT CAST(o_orderkey // {BLOCK} AS BIGINT) AS block, max(o_totalprice) - min(o_totalprice) AS value_range, CAST(7 AS INTEGER) AS num_segments, CAST(ceil(count(*) * 3 / 8) AS BIGINT) AS first_size, CAST(ceil(count(*) * 4 / 8) AS BIGINT) AS next_size FROM orders GROUP BY 1")
+def delta_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges and sizes of delta segments, written and read."""
+    manifest = refactor.refactor_deltas(_order_field(spark, d), shared_path(spark, "deltas"), 7)
+    return manifest.select("block", "value_range", "num_segments", F.col("segment_sizes")[0].alias("first_size"), F.col("segment_sizes")[6].alias("next_size"))
 
 
 _SIGNS_IN = f"count(*) FILTER (({_FIRST}) = p)"
 
 
-@query(_PB + f" SELECT CAST(p AS INTEGER) AS plane, CAST(ceil(count(*) / 8) + ceil({_SIGNS_IN} / 8) AS BIGINT) AS raw_size, count(*) AS n FROM c, range(0, {PLANES}) r(p) GROUP BY p")
+@query(_PB + f" SELECT CAST(idx // {BLOCK} AS BIGINT) AS block, CAST(p AS INTEGER) AS plane, CAST(ceil(count(*) / 8) + ceil({_SIGNS_IN} / 8) AS BIGINT) AS raw_size, count(*) AS n FROM c, range(0, {PLANES}) r(p) GROUP BY 1, 2")
 def pack_planes(spark: SparkSession, d: str) -> DataFrame:
     """Planes as bytes: their bits, then the signs of elements whose first one is there."""
     ship_package(spark)
-    coded = coded_events(spark, d, "perbit").select(F.lit(0).cast("bigint").alias("block"), F.lit("value").alias("var"), "level", F.col("idx").alias("pos"), "code", "sign")
-    return encode.fragments(coded, PLANES, "perbit", "none").select("plane", "raw_size", "n")
+    return encode.fragments(_packed(spark, d, "perbit"), PLANES, "perbit", "none").select("block", "plane", "raw_size", "n")
 
 
-@query(_PB + f" SELECT idx, {_pb_value(PLANES)} AS decoded FROM c")
+@query(_PB + f" SELECT idx, {_pb_value(12)} AS decoded FROM c")
 def compress_adaptive(spark: SparkSession, d: str) -> DataFrame:
-    """Packed, compressed plane by plane while that pays, expanded and decoded."""
+    """Packed, compressed plane by plane while that pays; the first 12 planes expanded and decoded."""
     ship_package(spark)
-    coded = coded_events(spark, d, "perbit").select(F.lit(0).cast("bigint").alias("block"), F.lit("value").alias("var"), "level", F.col("idx").alias("pos"), "code", "sign", "exp")
-    exp = coded.select("block", "var", "level", "exp").distinct()
-    back = encode.unpack(encode.fragments(coded, PLANES, "perbit", "adaptive"), PLANES).join(exp, ["block", "var", "level"])
-    return back.select(F.col("pos").alias("idx"), bitplane.decode(F.col("code"), F.col("sign"), F.col("exp"), PLANES, PLANES).alias("decoded"))
+    packed = _packed(spark, d, "perbit")
+    back = encode.unpack(encode.fragments(packed, PLANES, "perbit", "adaptive").where("plane < 12"), PLANES)
+    return _from_codes(back, packed, 12, "perbit")
 
 
-@query("SELECT p_partkey AS idx, true AS within FROM part")
-def precision_progressive(spark: SparkSession, d: str) -> DataFrame:
-    """An approximation, and planes of what it leaves, to within 0.01."""
-    path = shared_path(spark, "precision")
-    field = parts(spark, d).select(F.lit(0).cast("bigint").alias("block"), F.lit("price").alias("var"), "idx", "value")
-    refactor.refactor_precision(field, path, refactor.Config(0, PLANES))
-    got = refactor.reconstruct_precision(refactor.Session(spark, path), 0.01)
-    return field.join(got.select("idx", F.col("value").alias("got")), "idx").select("idx", (F.abs(F.col("value") - F.col("got")) <= 0.01).alias("within"))
+_PRECISION = f"""WITH p AS (SELECT CAST(p_partkey // {BLOCK} AS BIGINT) AS block, p_partkey AS idx, p_retailprice AS value FROM part), s AS (SELECT block, (max(value) - min(value)) * 0.001::DOUBLE AS eb FROM p GROUP BY block),
+ a AS (SELECT block, idx, value, eb, CASE WHEN eb > 0 THEN floor(value / (eb * 2) + 0.5) * (eb * 2) ELSE value END AS base FROM p JOIN s USING (block)), m AS (SELECT block, any_value(eb) AS eb, max(abs(value - base)) AS m FROM a GROUP BY block), x AS (SELECT block, eb, m, {_exp('m')} AS e FROM m),
+ n AS (SELECT block, eb, m, e, CAST((SELECT min(b) FROM range(0, 33) r(b) WHERE (CASE WHEN b = 0 THEN m ELSE pow(2.0, e - b) END) < 0.01) AS INTEGER) AS b FROM x)"""
 
 
-@query("SELECT vec_id AS idx, true AS within FROM embeddings")
+@query(_PRECISION + f" SELECT idx, base + (CASE WHEN value - base < 0 THEN -1 ELSE 1 END) * CAST((abs(CAST(trunc((value - base) * pow(2.0, {PLANES} - e)) AS BIGINT)) >> ({PLANES} - b)) << ({PLANES} - b) AS DOUBLE) * pow(2.0, e - {PLANES}) AS got FROM a JOIN n USING (block)")
+def precision_progressive(spark: SparkSession, d: str) -> DataFrame:
+    """An approximation, and planes of what it leaves, to within 0.01: the values."""
+    path = shared_path(spark, "precision")
+    refactor.refactor_precision(_part_field(spark, d), path, refactor.Config(0, PLANES))
+    return refactor.reconstruct_precision(refactor.Session(spark, path), 0.01).select("idx", F.col("value").alias("got"))
+
+
+def _part_field(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).select(F.floor(F.col("idx") / BLOCK).cast("bigint").alias("block"), F.lit("price").alias("var"), "idx", "value")
+
+
+@query(_PRECISION + f" SELECT block, m AS max_abs, e AS exp, eb AS approximator_eb, CAST({PLANES} AS INTEGER) AS planes FROM x")
+def precision_manifest(spark: SparkSession, d: str) -> DataFrame:
+    manifest = refactor.refactor_precision(_part_field(spark, d), shared_path(spark, "precision"), refactor.Config(0, PLANES))
+    return manifest.select("block", "max_abs", "exp", "approximator_eb", "planes")
+
+
+def _deltas_sql(rungs: int) -> str:
+    """Sums of the first segments of each variable, and the speed's estimate after each round of control from deltas."""
+    names = ("vx", "vy", "vz")
+    sql = _VEL + ", sp AS (SELECT " + ", ".join(f"max({c}) - min({c}) AS s{c}" for c in names) + " FROM v), p0 AS (SELECT idx, " + ", ".join(f"{c} AS r{c}, CAST([] AS DOUBLE[]) AS p{c}" for c in names) + " FROM v)"
+    for i in range(rungs):
+        e = {c: f"(s{c} / {float(10 ** (i + 1))!r}::DOUBLE)" for c in names}
+        cell = {c: f"floor(r{c} / ({e[c]} * 2) + 0.5) * ({e[c]} * 2)" for c in names}
+        last = {c: f"coalesce(p{c}[{i}], 0.0)" for c in names}
+        sql += f", p{i + 1} AS (SELECT idx, " + ", ".join(f"r{c} - {cell[c]} AS r{c}, list_append(p{c}, {last[c]} + {cell[c]}) AS p{c}" for c in names) + f" FROM p{i}, sp)"
+    sql += ", b1 AS (SELECT " + ", ".join(f"s{c} * 0.1::DOUBLE AS e{c}" for c in names) + " FROM sp)"
+    s2 = "(vx * vx + vy * vy + vz * vz)"
+    for r in range(1, control.ROUNDS + 1):
+        rung = {c: "(CASE " + " ".join(f"WHEN s{c} * {10.0 ** -(k + 1)!r}::DOUBLE <= e{c} THEN {k + 1}" for k in range(rungs)) + f" ELSE {rungs} END)" for c in names}
+        e2 = lambda by: " + ".join(f"(abs({c}) * 2 * (e{c} / {by}) + (e{c} / {by}) * (e{c} / {by}))" for c in names)
+        sql += f", q{r} AS (SELECT idx, b.*, " + ", ".join(f"p{c}[{rung[c]}] AS {c}" for c in names) + f" FROM p{rungs}, sp, b{r} b)"
+        sql += f", t{r} AS (SELECT *, {_SQRT_B.format(x=s2, e='(' + e2('1') + ')')} AS est FROM q{r}), w{r} AS (SELECT * FROM t{r} ORDER BY est DESC, idx LIMIT 1)"
+        sql += f", n{r} AS (SELECT min(n) AS n FROM (SELECT n, {_SQRT_B.format(x=s2, e='(' + e2('pow(1.5::DOUBLE, n)') + ')')} AS est FROM w{r}, range(0, 200) k(n)) WHERE est <= 0.001)"
+        sql += f", b{r + 1} AS (SELECT " + ", ".join(f"e{c} / pow(1.5::DOUBLE, n) AS e{c}" for c in names) + f" FROM w{r}, n{r})"
+    ended = " UNION ALL ".join(f"SELECT {r} AS r, est <= 0.001 AS met FROM w{r}" for r in range(1, control.ROUNDS + 1))
+    return sql + f", z AS (SELECT coalesce(min(r) FILTER (met), {control.ROUNDS}) AS r, bool_or(met) AS met FROM ({ended}))"
+
+
+@query(_deltas_sql(10) + " SELECT idx, CAST(r AS INTEGER) AS rounds, met, round(sqrt(vx * vx + vy * vy + vz * vz), 7) AS speed FROM (" + " UNION ALL ".join(f"SELECT {r} AS r, idx, vx, vy, vz FROM t{r}" for r in range(1, control.ROUNDS + 1)) + ") JOIN z USING (r)")
 def qoi_controlled(spark: SparkSession, d: str) -> DataFrame:
     """Speeds to within 0.001 of the true ones, from delta snapshots, tightened as far as that takes."""
     v = velocity(spark, d).withColumn("block", F.lit(0).cast("bigint"))
     spans = v.agg(*((F.max(c) - F.min(c)).alias(c) for c in ("vx", "vy", "vz"))).first().asDict()
     held = {c: materialise(approx.refactor_deltas(v.select("block", "idx", F.col(c).alias("value")), ["block", "idx"], [], approx.RUNGS["parallel"]), f"deltas-{c}") for c in spans}
-    fetch = control.Snapshots(held, spans, approx.RUNGS["parallel"], deltas=True)
-    out = control.retrieve_speed(fetch, tuple(spans[c] * 0.1 for c in ("vx", "vy", "vz")), 0.001)
-    true = v.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias("true"))
-    got = out.points.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias("got"))
-    return true.join(got, "idx").select("idx", ((F.abs(F.col("true") - F.col("got")) <= 0.001) & F.lit(out.met)).alias("within"))
+    out = control.retrieve_speed(control.Snapshots(held, spans, approx.RUNGS["parallel"], deltas=True), tuple(spans[c] * 0.1 for c in ("vx", "vy", "vz")), 0.001)
+    speed = qoi.speed(F.col("vx"), F.col("vy"), F.col("vz"))
+    return out.points.select("idx", F.lit(out.rounds).alias("rounds"), F.lit(out.met).alias("met"), F.round(speed, 7).alias("speed"))
+
+
+def _blocks_of(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of eight blocks; those of higher numbers are slower."""
+    slow = F.lit(1.0) + F.col("idx") % 8
+    return velocity(spark, d).select((F.col("idx") % 8).alias("block"), "idx", *((F.col(c) / slow).alias(c) for c in ("vx", "vy", "vz")))
+
+
+@query()
+def qoi_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each block controlled on its own, by ranges over all: rounds, bytes, ratio and bitrate; tests compare with blocks done alone."""
+    v = _blocks_of(spark, d)
+    spans = v.agg(*((F.max(c) - F.min(c)).alias(c) for c in ("vx", "vy", "vz"))).first().asDict()
+    held = {c: materialise(approx.snapshots(v.select("block", "idx", F.col(c).alias("value")), ["block", "idx"], [], approx.RUNGS["parallel"]), f"snapshots-{c}") for c in spans}
+    _, states = control.retrieve_blocks(held, spans, tuple(spans[c] * 0.1 for c in spans), 0.001, approx.RUNGS["parallel"])
+    raw = F.col("elements") * len(spans) * 8
+    return states.select("*", control.ratio(raw, F.col("bytes")).alias("ratio"), control.bitrate(F.col("bytes"), F.col("elements"), len(spans)).alias("bitrate"))
+
+
+@query("SELECT vec_id AS idx, true AS met, true AS within FROM embeddings")
+def qoi_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds to within 0.01 from one progressive store for each variable; tests compare values and bytes."""
+    v = velocity(spark, d).withColumn("block", F.floor(F.col("idx") / BLOCK).cast("bigint"))
+    spans = v.agg(*((F.max(c) - F.min(c)).alias(c) for c in ("vx", "vy", "vz"))).first().asDict()
+    sessions = {}
+    for c in spans:
+        path = shared_path(spark, f"flow-{c}")
+        refactor.refactor(v.select("block", F.lit(c).alias("var"), "idx", F.col(c).alias("value")), path, refactor.Config(2, PLANES))
+        sessions[c] = refactor.Session(spark, path)
+    out = control.retrieve_speed(control.Sessions(sessions), tuple(spans[c] * 0.1 for c in spans), 0.01)
+    speed = lambda df, name: df.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias(name))
+    return speed(v, "true").join(speed(out.points, "got"), "idx").select("idx", F.lit(out.met).alias("met"), (F.abs(F.col("true") - F.col("got")) <= 0.01).alias("within"))
 
 
 @query("SELECT CAST(date_part('day', ts) AS INTEGER) AS step, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
