@@ -392,17 +392,17 @@ def squared_error_by_plane(spark: SparkSession, d: str) -> DataFrame:
 _NB_ANY = f"CAST({_unnb('((code >> CAST(32 - b AS INTEGER)) << CAST(32 - b AS INTEGER))')} AS DOUBLE) * pow(2.0, e + 2 - {PLANES})"
 
 
-@query(_nb(2, 1) + f" SELECT CAST(b AS INTEGER) AS taken, round(sum((value - {_NB_ANY}) * (value - {_NB_ANY})), 1) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY b")
+@query(_nb(2, 1) + f" SELECT CAST(b AS INTEGER) AS taken, round(sum((value - {_NB_ANY}) * (value - {_NB_ANY})), 3) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY b")
 def squared_error_negabinary(spark: SparkSession, d: str) -> DataFrame:
     out = encode.squared_errors(coded_events(spark, d, "negabinary"), ["level"], PLANES, "negabinary")
-    return out.select("taken", F.round("squared_error", 1).alias("squared_error"))
+    return out.select("taken", F.round("squared_error", 3).alias("squared_error"))
 
 
-@query(_PB + f" SELECT CAST(idx // 32 AS BIGINT) AS grp, CAST(b AS INTEGER) AS taken, round(sum((value - {_PB_ANY}) * (value - {_PB_ANY})), 3) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY 1, 2")
+@query(_PB + f" SELECT CAST(idx // 32 AS BIGINT) AS grp, CAST(b AS INTEGER) AS taken, round(sum((value - {_PB_ANY}) * (value - {_PB_ANY})), 7) AS squared_error FROM c, range(0, {PLANES + 1}) r(b) GROUP BY 1, 2")
 def squared_error_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Of each group of 32 elements."""
     rows = coded_events(spark, d, "grouped").withColumn("grp", F.floor(F.col("idx") / 32).cast("bigint"))
-    return encode.squared_errors(rows, ["grp"], PLANES, "grouped").select("grp", "taken", F.round("squared_error", 3).alias("squared_error"))
+    return encode.squared_errors(rows, ["grp"], PLANES, "grouped").select("grp", "taken", F.round("squared_error", 7).alias("squared_error"))
 
 
 def _packed(spark: SparkSession, d: str, form: str) -> DataFrame:
