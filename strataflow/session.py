@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -88,12 +89,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written in the shared folder and read again, and its path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it again."""
+    return written(df, name)[0]
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of rounds that are over, and have Spark's cleaner free the shuffles that nothing refers to any more.
+
+    The cleaner works when the driver's collector does; between short rounds that would be far too seldom.
+    """
+    for path in paths:
+        _drop(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
