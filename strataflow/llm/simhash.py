@@ -39,8 +39,8 @@ from strataflow.session import cut, materialise, read_table, ship_package
 TILE, BLOCK = 4_096, 512
 #: From this many tiles on, tiles grow, up to WIDE fingerprints; then their number does.
 TILES, WIDE = 64, 4_194_304
-#: Texts, and shingles, in a chunk of a loose component, about.
-CHUNK, CHUNK_SHINGLES = 256, 1_000_000
+#: Texts, and shingles, in a chunk of a loose component, about; the bytes that bits of frequent shingles may take.
+CHUNK, CHUNK_SHINGLES, FREQUENT_BYTES = 8_192, 1_000_000, 64_000_000
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -281,13 +281,50 @@ def _set_prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
+class _Overlaps:
+    """How many shingles each set shares with others.
+
+    Shingles of one set alone are left out. Those of many sets are bits of a row for each set, whose common ones are
+    counted; the others have a list of their sets each.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        values, code, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(sets)), self.size)
+        room = FREQUENT_BYTES * 8 // max(1, len(sets))
+        often = np.flatnonzero(times >= max(2, len(sets) // 64))
+        often = often[np.argsort(-times[often], kind="stable")[:room]]
+        place = np.full(len(values), -1)
+        place[often] = np.arange(len(often))
+        self.bits = np.zeros((len(sets), max(1, -(-len(often) // 64))), np.uint64)
+        at = place[code]
+        dense = at >= 0
+        np.bitwise_or.at(self.bits, (of[dense], at[dense] >> 6), np.uint64(1) << (at[dense] & 63).astype(np.uint64))
+        rare = ~dense & (times[code] > 1)
+        # the sets of each rare shingle, one shingle after another, and the rare shingles of each set
+        order = np.argsort(code[rare], kind="stable")
+        self.lists = of[rare][order]
+        self.ends = np.cumsum(np.bincount(code[rare], minlength=len(values)))
+        self.rare, self.until = code[rare], np.cumsum(np.bincount(of[rare], minlength=len(sets)))
+
+    def __call__(self, u: int, others: np.ndarray) -> np.ndarray:
+        both = np.zeros(len(others), np.int64)
+        mine = self.bits[u]
+        for w in np.flatnonzero(mine):
+            both += np.bitwise_count(self.bits[others, w] & mine[w])
+        own = self.rare[(self.until[u - 1] if u else 0) : self.until[u]]
+        if len(own):
+            met = np.concatenate([self.lists[(self.ends[c - 1] if c else 0) : self.ends[c]] for c in own.tolist()])
+            both += np.bincount(met, minlength=len(self.size))[others]
+        return both
+
+
 def _confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose Jaccard similarity is at least that, by breadth-first search."""
-    size = np.array([len(s) for s in sets])
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.concatenate(([0], np.cumsum(size)))
-    parts = [code[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    edges, held = [], np.zeros(len(values), bool)
+    shared = _Overlaps(sets)
+    size = shared.size
+    edges: list[tuple[int, int]] = []
     rest, queue = np.flatnonzero(size), []
     while queue or len(rest):
         if queue:
@@ -297,13 +334,15 @@ def _confirmed(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
         near = rest[np.minimum(size[rest], size[u]) >= similarity * np.maximum(size[rest], size[u]) - 1e-9]
         if not len(near):
             continue
-        held[parts[u]] = True
-        both = np.add.reduceat(held[np.concatenate([parts[v] for v in near])], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
-        held[parts[u]] = False
+        both = shared(u, near)
         hit = near[both >= similarity * (size[near] + size[u] - both) - 1e-9]
+        if not len(hit):
+            continue
         edges += [(u, int(v)) for v in hit]
         queue += hit.tolist()
-        rest = np.setdiff1d(rest, hit, assume_unique=True)
+        left = np.ones(len(size), bool)
+        left[hit] = False
+        rest = rest[left[rest]]
     return edges
 
 

@@ -552,6 +552,30 @@ def test_tiles_lose_no_link(monkeypatch):
     assert [min(np.flatnonzero(across == v)) for v in across] == want
 
 
+@pytest.mark.parametrize("room", [64_000_000, 0, 30])
+def test_confirmed_links(monkeypatch, room):
+    monkeypatch.setattr(simhash, "FREQUENT_BYTES", room)
+    rng = np.random.default_rng(19)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, int(rng.integers(30, 60)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64)))) for _ in range(150)]
+    sets += [np.unique(rng.integers(0, 300, 40).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)] * 2
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+    found = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8}
+    edges = simhash._confirmed(sets, 0.8)
+    assert edges and {(max(e), min(e)) for e in edges} <= found
+
+    def parts(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            root = [root[a] if x == root[b] else x for x in root]
+        return [root.index(x) for x in root]
+
+    assert parts(edges) == parts(found) and len(edges) == len(sets) - len(set(parts(found)))
+    shared = simhash._Overlaps(sets)
+    for u in range(0, len(sets), 17):
+        assert shared(u, np.arange(len(sets))).tolist() == [len(np.intersect1d(sets[u], x)) if i != u else shared(u, np.array([u]))[0] for i, x in enumerate(sets)]
+
+
 def test_empty_simhash(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
