@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.session import cut
+from strataflow.session import forget, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,13 +27,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes that have a link; root is the least node of the component.
 
     edges has long columns src and dst, in either direction, with repeats and loops allowed; links with a null end
-    are left out. Each round is written to the shared folder, so nothing is recomputed when an executor is lost.
+    are left out. Each round is written to the shared folder, so nothing is recomputed when an executor is lost;
+    the round before goes, and so do the shuffles of rounds that are over.
     """
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    told = None
+    spark, told = edges.sparkSession, None
+    edges, path = written(edges.select("src", "dst").where("src <> dst").distinct(), "components")
     while True:
-        edges = cut(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        edges, new = written(_star(_star(edges, True), False), "components")
+        forget(spark, path)
+        path, now = new, edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == told:
             break
         told = now
