@@ -988,7 +988,7 @@ def qoi_blocks(spark: SparkSession, d: str) -> DataFrame:
     return states.select("*", control.ratio(raw, F.col("bytes")).alias("ratio"), control.bitrate(F.col("bytes"), F.col("elements"), len(spans)).alias("bitrate"))
 
 
-@query("SELECT vec_id AS idx, true AS met, true AS within FROM embeddings")
+@query()
 def qoi_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Speeds to within 0.01 from one progressive store for each variable; tests compare values and bytes."""
     v = velocity(spark, d).withColumn("block", F.floor(F.col("idx") / BLOCK).cast("bigint"))
@@ -1000,7 +1000,8 @@ def qoi_sessions(spark: SparkSession, d: str) -> DataFrame:
         sessions[c] = refactor.Session(spark, path)
     out = control.retrieve_speed(control.Sessions(sessions), tuple(spans[c] * 0.1 for c in spans), 0.01)
     speed = lambda df, name: df.select("idx", qoi.speed(F.col("vx"), F.col("vy"), F.col("vz")).alias(name))
-    return speed(v, "true").join(speed(out.points, "got"), "idx").select("idx", F.lit(out.met).alias("met"), (F.abs(F.col("true") - F.col("got")) <= 0.01).alias("within"))
+    told = {"met": F.lit(out.met), "rounds": F.lit(out.rounds), "bytes": F.lit(out.bytes), "ratio": F.lit(out.ratio), "bitrate": F.lit(out.bitrate)}
+    return speed(v, "true").join(speed(out.points, "got"), "idx").select("idx", "got", (F.abs(F.col("true") - F.col("got")) <= 0.01).alias("within"), *(c.alias(n) for n, c in told.items()))
 
 
 @query("SELECT CAST(date_part('day', ts) AS INTEGER) AS step, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
