@@ -51,13 +51,14 @@ def exponent(x: Column) -> Column:
 
 
 def places(idx: Column, n: Column, levels: int) -> list[tuple[Column, Column]]:
-    """For levels from the finest to 0: the element's place there (null where it has none) and the level's extent."""
+    """For levels from the finest to 0: the element's place there (null where it has none) and the level's extent.
+
+    Halving an extent k times leaves (n - 2 >> k) + 2. The last element stays last; others stay if 2^k divides idx.
+    """
     out = [(idx, n)]
-    for _ in range(levels):
-        c, m = out[-1]
-        coarse = F.shiftright(m.cast("bigint"), 1) + 1
-        c = F.when(c == m - 1, coarse - 1).when(c % 2 == 0, F.shiftright(c.cast("bigint"), 1))
-        out.append((c, coarse))
+    for k in range(1, levels + 1):
+        coarse = F.shiftright(n.cast("bigint") - 2, k) + 2
+        out.append((F.when(idx == n - 1, coarse - 1).when(idx % (1 << k) == 0, F.shiftright(idx.cast("bigint"), k)), coarse))
     return out
 
 
